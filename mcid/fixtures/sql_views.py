@@ -138,6 +138,8 @@ def with_views(names: str, query: str) -> str:
         visit(name)
     head = ",\n".join(f"{n} AS ({_TEXT[n]})" for n in ordered)
     body = query.strip()
-    if body[:5].upper() == "WITH ":
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
+    if body.startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import zone_key, zone_lower
+
 
 def payload(ts_ms: Column, **values: Column) -> Column:
     inner = F.struct(*[c.alias(n) for n, c in values.items()])
@@ -60,3 +64,55 @@ def system_health(
         workers_crashed=crashed,
         stream_healthy=healthy,
     )
+
+
+# fixed values: stat columns and the names of their payload keys; {key} is the zone
+# name without blanks and {lower} the lower-case name with underscores
+ZONE_KEYS = {
+    "current_count": "{key}Count",
+    "avg_dwell": "{lower}AvgDwell",
+    "longest_dwell": "longestDwell{key}",
+    "pending_entries": "pending{key}",
+    "total_entered": "count{key}",
+    "total_exited": "exit{key}",
+    "valid_entries": "validEntries{key}",
+}
+CAMERA_KEYS = {
+    "total_people": "TotalPeople",
+    "avg_camera_dwell": "avgCameraDwell",
+    "longest_camera_dwell": "longestCameraDwell",
+    "unique_people": "uniquePeopleToday",
+    "unique_people_hourly": "uniquePeopleHourly",
+    "unique_people_daily": "uniquePeopleDaily",
+    "total_pending": "totalPendingEntries",
+    "avg_dwell_time": "avgDwellTime",
+    "longest_dwell_time": "longestDwellTime",
+}
+
+
+def _entries(df: DataFrame, names: dict[str, Column]) -> DataFrame:
+    pairs = F.array(*[F.struct(n.alias("key"), F.col(c).cast("string").alias("value")) for c, n in names.items()])
+    return df.select("camera_id", F.explode(pairs).alias("e")).select("camera_id", "e.key", "e.value")
+
+
+def wide(zone_stats: DataFrame, camera_stats: DataFrame, ts_ms: Column) -> DataFrame:
+    """One ``{ts, values}`` row per camera with every zone and camera number.
+
+    ``zone_stats``: camera_id, zone_id and the columns of ``ZONE_KEYS``;
+    ``camera_stats``: camera_id and the columns of ``CAMERA_KEYS``. The entries of
+    a camera are as many as its zones, so the last grouping is small.
+    """
+    key, lower = zone_key(F.col("zone_id")), zone_lower(F.col("zone_id"))
+
+    def named(pattern: str) -> Column:
+        head, tail = re.split(r"\{key\}|\{lower\}", pattern)
+        return F.concat(F.lit(head), lower if "{lower}" in pattern else key, F.lit(tail))
+
+    entries = _entries(zone_stats, {c: named(p) for c, p in ZONE_KEYS.items()}).unionByName(
+        _entries(camera_stats, {c: F.lit(n) for c, n in CAMERA_KEYS.items()})
+    )
+    piece = F.concat(F.lit('"'), "key", F.lit('":'), "value")
+    body = F.array_join(F.array_sort(F.collect_list(piece)), ",")
+    return entries.groupBy("camera_id").agg(
+        F.concat(F.lit('{"ts":'), F.max(ts_ms).cast("string"), F.lit(',"values":{'), body, F.lit("}}")).alias("payload")
+    )

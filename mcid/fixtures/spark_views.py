@@ -109,22 +109,25 @@ class Views:
     @cached_property
     def raw_json(self) -> DataFrame:
         """Detections as JSON text, some of them broken in different ways."""
-        d = self.detections.withColumn(
-            "bbox_text", F.format_string("[%s,%s,%s,%s]", "x1", "y1", "x2", "y2")
-        )
-        k = F.col("det_id") % 50
-        cam = F.concat(F.lit("cam"), F.substring("camera_id", 6, 1), F.lit("_merged"))
-        tail = F.format_string(
-            ',"timestamp_ms":%d,"score":%s}', "ts_ms", F.col("score")
+        d, k = self.detections, F.col("det_id") % 50
+
+        def part(condition, *pieces):
+            return F.when(condition, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces]))
+
+        whole = F.concat(
+            F.lit('"bbox":['), F.concat_ws(",", "x1", "y1", "x2", "y2"), F.lit("]")
         )
-        text = (
-            F.when(k == 7, F.format_string('{"camera_id":"%s","frame_id":%d,"bbox":%s', cam, "frame_id", "bbox_text"))
-            .when(k == 17, F.concat(F.format_string('{"camera_id":"%s","frame_id":%d,"local_track_id":"abc","bbox":%s', cam, "frame_id", "bbox_text"), tail))
-            .when(k == 27, F.concat(F.format_string('{"camera_id":"%s","frame_id":%d,"local_track_id":%d,"bbox":[1.0,2.0]', cam, "frame_id", "local_track_id"), tail))
-            .when(k == 37, F.concat(F.format_string('{"frame_id":%d,"local_track_id":%d,"bbox":%s', "frame_id", "local_track_id", "bbox_text"), tail))
-            .when(k == 47, F.format_string('{"camera_id":"%s","frame_id":%d,"local_track_id":%d}', cam, "frame_id", "local_track_id"))
-            .otherwise(F.concat(F.format_string('{"camera_id":"%s","frame_id":%d,"local_track_id":%d,"bbox":%s', cam, "frame_id", "local_track_id", "bbox_text"), tail))
+        body = F.concat_ws(
+            ",",
+            part(k != 37, '"camera_id":"cam', F.substring("camera_id", 6, 1), '_merged"'),
+            part(F.lit(True), '"frame_id":', F.col("frame_id").cast("string")),
+            part(k == 17, '"local_track_id":"abc"'),
+            part(~k.isin(7, 17), '"local_track_id":', F.col("local_track_id").cast("string")),
+            part(k == 27, '"bbox":[1.0,2.0]'),
+            part(~k.isin(27, 47), whole),
+            part(~k.isin(7, 47), '"timestamp_ms":', F.col("ts_ms").cast("string"), ',"score":', F.col("score").cast("string")),
         )
+        text = F.concat(F.lit("{"), body, F.when(k == 7, "").otherwise("}"))
         return d.select("det_id", text.alias("value"))
 
     @cached_property

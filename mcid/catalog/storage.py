@@ -19,8 +19,8 @@ from .scores import decisions
 NOW_MS = 1706659200000
 
 
-def parsed(v: Views) -> tuple[DataFrame, DataFrame]:
-    return readers.parse_detections(v.raw_json, now_ms=F.lit(NOW_MS))
+def judged(v: Views) -> DataFrame:
+    return readers.judge_detections(v.raw_json, now_ms=F.lit(NOW_MS))
 
 
 @query(
@@ -34,16 +34,18 @@ def parsed(v: Views) -> tuple[DataFrame, DataFrame]:
     FROM (SELECT *, det_id % 50 AS k, det_id % 50 NOT IN (7, 17, 27, 37) AS good FROM det)""",
 )
 def src_detections(v: Views) -> DataFrame:
-    good, bad = parsed(v)
-    ok = good.select(
-        "det_id", F.lit("ok").alias("status"), "camera_id", "event_id", F.col("timestamp_ms").alias("ts_ms"),
-        F.col("bbox")[0].alias("x1"), F.col("bbox")[3].alias("y2"), "score",
+    rows = judged(v)
+    ok = F.col("reason").isNull()
+    return rows.select(
+        "det_id",
+        F.coalesce("reason", F.lit("ok")).alias("status"),
+        F.when(ok, F.col("camera_id")).alias("camera_id"),
+        F.when(ok, F.col("event_id")).alias("event_id"),
+        F.when(ok, F.col("timestamp_ms")).otherwise(-1).alias("ts_ms"),
+        F.when(ok, F.get("bbox", F.lit(0))).alias("x1"),
+        F.when(ok, F.get("bbox", F.lit(3))).alias("y2"),
+        F.when(ok, F.col("score")).alias("score"),
     )
-    none = bad.select(
-        "det_id", F.col("reason").alias("status"), F.lit(None).cast("string").alias("camera_id"), F.lit(None).cast("string").alias("event_id"),
-        F.lit(-1).cast("bigint").alias("ts_ms"), *[F.lit(None).cast("double").alias(c) for c in ("x1", "y2", "score")],
-    )
-    return ok.unionByName(none)
 
 
 @query(

@@ -9,7 +9,7 @@ from ..fixtures import Views
 from ..operators import telemetry
 from . import query
 from .scores import decisions
-from .storage import parsed
+from .storage import judged
 
 
 @query(
@@ -101,10 +101,10 @@ def registry_percentiles(v: Views) -> DataFrame:
     FROM det GROUP BY 2""",
 )
 def counters(v: Views) -> DataFrame:
-    good, bad = parsed(v)
     by_type = telemetry.counters(decisions(v), "identity_decisions", F.col("decision"))
-    ok = telemetry.counters(good, "detections", F.lit("parsed"))
-    return by_type.unionByName(ok).unionByName(telemetry.counters(bad, "detections", F.col("reason")))
+    return by_type.unionByName(
+        telemetry.counters(judged(v), "detections", F.coalesce("reason", F.lit("parsed")))
+    )
 
 
 @query(

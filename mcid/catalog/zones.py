@@ -9,6 +9,7 @@ from ..fixtures import Views
 from ..fixtures.sql_views import register_view
 from ..operators import dwell, payloads, sequences
 from ..plans import read_api
+from ..session import cut_lineage
 from . import query
 from .detections import zoned
 from .identity import NOW_MS
@@ -107,7 +108,8 @@ def dwell_force_close(v: Views) -> DataFrame:
                       count(DISTINCT global_id) AS people FROM move_stays GROUP BY 1, 2) USING (camera_id, zone_id)""",
 )
 def zone_summary(v: Views) -> DataFrame:
-    events = moves(v)
+    # entries and exits are few next to detections and are used twice: keep them
+    events = cut_lineage(moves(v))
     out = dwell.zone_summary(events, dwell.sessions(events, "det_id"))
     return out.withColumn("dwell_avg_seconds", F.round("dwell_avg_seconds", 6))
 

@@ -29,6 +29,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Use all cores for what follows, if the files give too few tasks; rows are
+        still small here, before the steps that multiply them."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, key)
+
     # ---- dimensions -------------------------------------------------------
     def _inline(self, rows: list[tuple], schema: str) -> DataFrame:
         """Literal rows as an inline table, whose size the planner knows."""
@@ -52,7 +60,7 @@ class Views:
     @cached_property
     def events(self) -> DataFrame:
         """Events with integer times and the camera each one happens on."""
-        return self.table("events").select(
+        return self._spread(self.table("events"), "event_id").select(
             "event_id",
             "user_id",
             "event_type",

@@ -184,17 +184,25 @@ def search(
             ta, tb = left.column("ts").to_numpy(), right.column("cand_ts").to_numpy()
             ids, cand = left.column("tracklet_id").to_numpy(), right.column("cand_tracklet_id").to_numpy()
             lo, hi = left.column("back_max")[0].as_py(), left.column("back_min")[0].as_py()
+            # in time order, each strip of rows needs only a slice of the others
+            qa, pb = np.argsort(ta, kind="stable"), np.argsort(tb, kind="stable")
+            a, ta, ids, b, tb, cand = a[qa], ta[qa], ids[qa], b[pb], tb[pb], cand[pb]
             for s in range(0, len(a), 256):
-                cos = a[s : s + 256] @ b.T
-                dt = ta[s : s + 256, None] - tb[None, :]
-                ok = (dt <= lo) & (dt >= hi) & (cos >= min_cosine)
-                i, j = np.nonzero(ok)
+                strip = ta[s : s + 256]
+                from_, to = np.searchsorted(tb, strip[0] - lo), np.searchsorted(tb, strip[-1] - hi, side="right")
+                if from_ >= to:
+                    continue
+                cos = a[s : s + 256] @ b[from_:to].T
+                i, j = np.nonzero(cos >= min_cosine)
+                dt = strip[i] - tb[from_ + j]
+                keep = (dt <= lo) & (dt >= hi)
+                i, j, dt = i[keep], j[keep], dt[keep]
+                c = cos[i, j]
+                j = j + from_
                 keep = ids[s + i] != cand[j]
                 if earlier_only:
-                    d = dt[i, j]
-                    keep &= (d > 0) | ((d == 0) & (cand[j] < ids[s + i]))
-                i, j = i[keep], j[keep]
-                c = cos[i, j]
+                    keep &= (dt > 0) | ((dt == 0) & (cand[j] < ids[s + i]))
+                i, j, c = i[keep], j[keep], c[keep]
                 # one row per candidate tracklet, its best point
                 by = np.lexsort((-c, cand[j], i))
                 i, j, c = i[by], j[by], c[by]

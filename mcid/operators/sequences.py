@@ -100,22 +100,26 @@ def last_known(
     )
 
 
-def runs(
-    df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk_width: int, name: str = "run"
-) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str], at: str, gap: int, name: str = "run") -> DataFrame:
     """Number the runs of ``at`` values that are less than ``gap`` apart.
 
     Values in the same ``gap``-wide bucket are always in one run, so rows are
-    first reduced to one per bucket (map side), and only buckets are compared.
+    first reduced to one per bucket (map side). Only buckets are compared, and a
+    key has at most one per ``gap`` of the span it covers, however many rows.
     Returns one row per bucket: keys, ``bucket``, ``lo``, ``hi``, and the run.
     """
     buckets = df.groupBy(*keys, F.floor(F.col(at) / gap).alias("bucket")).agg(
         F.min(at).alias("lo"), F.max(at).alias("hi")
     )
-    chunk = F.floor(F.col("lo") / chunk_width)
-    linked = neighbour(buckets, keys, ["bucket"], {"_last": "hi"}, chunk)
-    opens = F.when(F.col("lo") - F.col("_last") < gap, 0).otherwise(1).cast("bigint")
-    return running_total(linked, keys, ["bucket"], opens, chunk, name).drop("_last")
+    return number_runs(buckets, keys, gap, name)
+
+
+def number_runs(buckets: DataFrame, keys: Sequence[str], gap: int, name: str = "run") -> DataFrame:
+    """Run numbers for buckets made as in :func:`runs`."""
+    w = Window.partitionBy(*keys).orderBy("bucket")
+    opens = F.when(F.col("lo") - F.lag("hi").over(w) < gap, 0).otherwise(1).cast("bigint")
+    so_far = F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return buckets.withColumn("_opens", opens).withColumn(name, so_far).drop("_opens")
 
 
 def fold_sorted(

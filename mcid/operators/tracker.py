@@ -15,15 +15,33 @@ class Tracker:
         self.iou_above, self.confirm_at, self.forget_after = iou_above, confirm_at, forget_after
         self.live: dict[int, list] = {}
 
-    def _best(self, ids: list[int], tracks: np.ndarray, b: tuple) -> int | None:
-        w = np.minimum(tracks[:, 2], b[2]) - np.maximum(tracks[:, 0], b[0])
-        h = np.minimum(tracks[:, 3], b[3]) - np.maximum(tracks[:, 1], b[1])
-        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-        size = np.clip(tracks[:, 2] - tracks[:, 0], 0, None) * np.clip(tracks[:, 3] - tracks[:, 1], 0, None)
-        own = max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-        overlap = inter / np.maximum(size + own - inter, 1e-6)
-        k = int(overlap.argmax())
-        return ids[k] if overlap[k] > self.iou_above else None
+    def _best(self, boxes: list[tuple]) -> list[int | None]:
+        """For each box, the live track with the greatest overlap above the bound."""
+        ids = list(self.live)
+        if not ids:
+            return [None] * len(boxes)
+        if len(ids) * len(boxes) <= 32:
+            # a handful of pairs is quicker without arrays
+            return [self._best_of_few(b) for b in boxes]
+        t = np.array([s[BOX] for s in self.live.values()], dtype=float)[None, :, :]
+        b = np.array(boxes, dtype=float)[:, None, :]
+        inter = np.clip(np.minimum(t, b)[..., 2:] - np.maximum(t, b)[..., :2], 0, None).prod(axis=2)
+        size = [np.clip(m[..., 2:] - m[..., :2], 0, None).prod(axis=2) for m in (t, b)]
+        overlap = inter / np.maximum(size[0] + size[1] - inter, 1e-6)
+        k = overlap.argmax(axis=1)
+        return [ids[j] if overlap[i, j] > self.iou_above else None for i, j in enumerate(k)]
+
+    def _best_of_few(self, b: tuple) -> int | None:
+        best, found = self.iou_above, None
+        for tid, (t, _, _) in self.live.items():
+            w, h = min(t[2], b[2]) - max(t[0], b[0]), min(t[3], b[3]) - max(t[1], b[1])
+            if w <= 0 or h <= 0:
+                continue
+            union = max(0.0, t[2] - t[0]) * max(0.0, t[3] - t[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
+            overlap = w * h / max(union, 1e-6)
+            if overlap > best:
+                best, found = overlap, tid
+        return found
 
     def frame(self, frame_no: int, boxes: list[tuple[int, int, tuple]]) -> list[tuple]:
         """(det, track, age, confirmed) for the boxes ``(det, number, box)`` of one
@@ -31,10 +49,8 @@ class Tracker:
         # frames without boxes would have dropped these before this frame
         for tid in [t for t, s in self.live.items() if frame_no - s[SEEN] > self.forget_after + 1]:
             del self.live[tid]
-        ids = list(self.live)
-        tracks = np.array([s[BOX] for s in self.live.values()], dtype=float).reshape(-1, 4)
-        chosen = [(self._best(ids, tracks, b) if ids else None) for _, _, b in boxes]
-        known, used, out = set(ids), set(), []
+        chosen = self._best([b for _, _, b in boxes])
+        known, used, out = set(self.live), set(), []
         for (det, number, b), tid in zip(boxes, chosen):
             tid = number if tid is None else tid
             if tid in known and tid in used:

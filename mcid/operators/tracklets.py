@@ -31,6 +31,7 @@ def build(
     min_detections: int = 15,
     min_crops: int = 5,
     max_crops: int = 15,
+    max_embeddings: int = 15,
 ) -> DataFrame:
     """Close a track after ``gap_ms`` of silence and summarize each run.
 
@@ -60,9 +61,17 @@ def build(
         F.max(F.struct(at.alias("at"), "zone_id")).alias("last"),
         F.max(F.when(F.col("crop_uri").isNotNull() & usable, F.struct(best.alias("k"), "crop_uri"))).alias("best"),
     )
-    linked = sequences.neighbour(part, KEYS, ["bucket"], {"_last": "hi"}, F.floor(F.col("lo") / DAY_MS))
-    opens = F.when(F.col("lo") - F.col("_last") < gap_ms, 0).otherwise(1).cast("bigint")
-    numbered = sequences.running_total(linked, KEYS, ["bucket"], opens, F.floor(F.col("lo") / DAY_MS), "run")
+    if max_crops > 0:
+        part = part.join(_first_boxes(rows, max_crops), [*KEYS, "bucket"])
+    numbered = sequences.number_runs(part, KEYS, gap_ms)
+    aggs = []
+    if max_crops > 0:
+        # a run's early buckets already hold its first boxes: skip the later ones
+        so_far = Window.partitionBy(*KEYS, "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        early = F.coalesce(F.sum("n").over(so_far), F.lit(0)) < max_crops
+        numbered = numbered.withColumn("_first", F.when(early, F.struct("bucket", "boxes")))
+        lists = F.transform(F.array_sort(F.collect_list("_first")), lambda s: s["boxes"])
+        aggs = [F.slice(F.flatten(lists), 1, max_crops).alias("frame_bboxes")]
     closed = (
         numbered.groupBy(*KEYS, "run")
         .agg(
@@ -72,9 +81,9 @@ def build(
             F.max("last")["zone_id"].alias("end_zone_id"),
             F.sum("n").alias("frame_count"),
             F.sum("crops").alias("crop_count"),
-            F.least(F.sum("embeddings"), F.lit(max_crops)).alias("embedding_count"),
+            F.least(F.sum("embeddings"), F.lit(max_embeddings)).alias("embedding_count"),
             F.max("best").alias("best"),
-            F.min("bucket").alias("first_bucket"),
+            *aggs,
         )
         .where(
             (F.col("crop_count") >= min_crops)
@@ -85,7 +94,6 @@ def build(
     out = closed.select(
         tracklet_id(F.col("camera_id"), F.col("local_track_id"), F.col("start_ms")).alias("tracklet_id"),
         *KEYS,
-        "run",
         "start_ms",
         "end_ms",
         "start_zone_id",
@@ -96,30 +104,22 @@ def build(
         "embedding_count",
         F.lit("pphuman").alias("source"),
         F.lit(False).alias("provisional"),
+        *(["frame_bboxes"] if max_crops > 0 else []),
     )
-    if max_crops <= 0:
-        return out.drop("run")
-    return out.join(_first_boxes(rows, numbered, max_crops), [*KEYS, "run"], "left").drop("run")
+    return out
 
 
-def _first_boxes(rows: DataFrame, numbered: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` boxes of each run, in time order."""
+def _first_boxes(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` boxes of each bucket in time order; the rest is dropped
+    before the shuffle."""
     in_bucket = Window.partitionBy(*KEYS, "bucket").orderBy("ts_ms", "det_id")
     trimmed = (
         rows.select(*KEYS, "bucket", "ts_ms", "det_id", F.array("x1", "y1", "x2", "y2").alias("bbox"))
         .withColumn("_k", F.row_number().over(in_bucket))
         .where(F.col("_k") <= limit)
     )
-    # a run's early buckets already hold its first boxes: drop the later ones
-    so_far = Window.partitionBy(*KEYS, "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    early = (
-        numbered.withColumn("_before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-        .where(F.col("_before") < limit)
-        .select(*KEYS, "bucket", "run", "_before")
-    )
-    picked = trimmed.join(early, [*KEYS, "bucket"]).where(F.col("_before") + F.col("_k") <= limit)
     items = F.array_sort(F.collect_list(F.struct("ts_ms", "det_id", "bbox")))
-    return picked.groupBy(*KEYS, "run").agg(F.transform(items, lambda s: s["bbox"]).alias("frame_bboxes"))
+    return trimmed.groupBy(*KEYS, "bucket").agg(F.transform(items, lambda s: s["bbox"]).alias("boxes"))
 
 
 def auxiliary(aux: DataFrame, primary: DataFrame, window_ms: int = 1000, iou_above: float = 0.3) -> DataFrame:

@@ -24,8 +24,8 @@ def _cast(c: str, kind: str) -> Column:
     return F.expr(f"try_cast({c} AS {kind})")
 
 
-def parse_detections(df: DataFrame, column: str = "value", now_ms: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected) detections from JSON text; rejects carry ``reason``.
+def judge_detections(df: DataFrame, column: str = "value", now_ms: Column | None = None) -> DataFrame:
+    """Typed detections from JSON text, with a ``reason`` where a row is unusable.
 
     Camera, frame and track are required. A missing box counts as a zero box, a
     box with fewer than four numbers is rejected. Missing times become
@@ -59,10 +59,10 @@ def parse_detections(df: DataFrame, column: str = "value", now_ms: Column | None
         .when(bad_number, "bad_number")
         .when(short, "short_bbox")
     )
-    judged = typed.withColumn("reason", reason)
     default_id = F.concat_ws("_", F.lit("det"), "_camera", "_frame", "_track")
-    good = judged.where("reason IS NULL").select(
+    return typed.select(
         *keep,
+        reason.alias("reason"),
         F.coalesce("schema_version", F.lit("1.0")).alias("schema_version"),
         F.coalesce("event_id", default_id).alias("event_id"),
         F.coalesce("source", F.lit("pphuman")).alias("source"),
@@ -78,7 +78,12 @@ def parse_detections(df: DataFrame, column: str = "value", now_ms: Column | None
         F.from_json("embedding", "array<float>").alias("embedding"),
         F.nullif("frame_uri", F.lit("")).alias("frame_uri"),
     )
-    return good, judged.where("reason IS NOT NULL").select(*keep, "reason")
+
+
+def parse_detections(df: DataFrame, column: str = "value", now_ms: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) detections; see :func:`judge_detections`."""
+    judged = judge_detections(df, column, now_ms)
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL").select(*df.columns, "reason")
 
 
 def parse_mot(df: DataFrame, column: str = "value") -> DataFrame:

@@ -59,7 +59,9 @@ def canonical_ids(merges: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("created_ms", "new_global_id"))["new_global_id"].alias("global_id"))
     )
     links = cut_lineage(step)
-    for _ in range(64):
+    # after r rounds a pointer has passed 2^r merges, and no chain is longer than
+    # the number of merges
+    for _ in range(links.count().bit_length() + 2):
         up = links.select(F.col("old_global_id").alias("global_id"), F.col("global_id").alias("next"))
         hop = links.join(up, "global_id", "left").select(
             "old_global_id", F.coalesce("next", "global_id").alias("global_id"), F.col("next").isNotNull().alias("moved")

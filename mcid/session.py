@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files, so an
-    executor lost later costs one reread instead of the whole history."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from the files.
+
+    An executor lost later costs one reread instead of the whole history. Files
+    also give the planner true sizes, and loops start each round with a fresh plan
+    (a checkpointed plan keeps inferred constraints, which grow with the rounds).
+    """
+    path = f"{shared_dir(df.sparkSession)}/mcid-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -203,7 +203,7 @@ def norm_camera_id(v: Views) -> DataFrame:
     return v.events.select("event_id", names.camera_id(F.expr(RAW_NAME)).alias("camera"))
 
 
-ZONE_TEXT = "concat('  Fazzio & Filano ', event_type, ' Zone #', event_id % 12, ' ')"
+ZONE_TEXT = "concat('  Toys & Games ', event_type, ' Zone #', event_id % 12, ' ')"
 
 
 @query("zone_key", "ev", f"SELECT event_id, replace({ZONE_TEXT}, ' ', '') AS key FROM ev")
@@ -219,7 +219,7 @@ def zone_lower(v: Views) -> DataFrame:
 @query(
     "zone_slug",
     "ev",
-    "SELECT event_id, 'fazzio-and-filano-' || event_type || '-zone-' || (event_id % 12) AS slug FROM ev",
+    "SELECT event_id, 'toys-and-games-' || event_type || '-zone-' || (event_id % 12) AS slug FROM ev",
 )
 def zone_slug(v: Views) -> DataFrame:
     return v.events.select("event_id", names.zone_slug(F.expr(ZONE_TEXT)).alias("slug"))

@@ -127,15 +127,15 @@ def test_names(one):
         a=names.camera_id(F.lit("cam1_merged")),
         b=names.camera_id(F.lit("CAM_02")),
         c=names.camera_id(F.lit("lobby")),
-        s=names.zone_slug(F.lit("Fazzio & Filano Zone")),
+        s=names.zone_slug(F.lit("Toys & Games Zone")),
         e=names.zone_slug(F.lit(" !! ")),
-        k=names.zone_key(F.lit("Fazzio & Filano Zone")),
+        k=names.zone_key(F.lit("Toys & Games Zone")),
         t=names.topic_name(F.lit("a/b"), F.lit("CAM_02"), F.lit("telemetry"), F.lit("cam_2")),
         x=names.topic_name(F.lit("a/b"), F.lit("CAM_02"), F.lit("nothing"), F.lit("cam_2")),
     )
     assert got == {
-        "a": "CAM_01", "b": "CAM_02", "c": "LOBBY", "s": "fazzio-and-filano-zone", "e": "unknown-zone",
-        "k": "Fazzio&FilanoZone", "t": "a/b/cam2/summary", "x": None,
+        "a": "CAM_01", "b": "CAM_02", "c": "LOBBY", "s": "toys-and-games-zone", "e": "unknown-zone",
+        "k": "Toys&GamesZone", "t": "a/b/cam2/summary", "x": None,
     }
 
 

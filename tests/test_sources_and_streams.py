@@ -68,17 +68,17 @@ def test_stays_over_several_batches(spark, tmp_path):
     """State carries over batches, and the timer closes what nobody left."""
     cols = "event_id bigint, global_id string, zone_id string, camera_id string, event_type string, ts_ms bigint"
     batches = [
-        [(1, "G", "Z", "C", "enter", 0), (2, "H", "Z", "C", "enter", 1000)],
-        [(3, "G", "Z", "C", "enter", 20_000), (4, "G", "Z", "C", "exit", 60_000)],
+        [(1, "G", "Z", "C", "enter", 5000), (2, "H", "Z", "C", "enter", 6000)],
+        [(3, "G", "Z", "C", "enter", 20_000), (4, "G", "Z", "C", "exit", 65_000)],
         [(5, "X", "Z", "C", "exit", 90_000_000)],
         [(6, "X", "Z", "C", "exit", 95_000_000)],
     ]
-    for i, rows in enumerate(batches):
+    for rows in batches:
         spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out, _ = run.to_table(processors.stays(live, "1 second"), "stays")
     got = sorted((r.global_id, r.entered_ms, r.duration_seconds) for r in out.collect())
-    assert got == [("G", 0, 60), ("H", 1000, 86_400)]
+    assert got == [("G", 5000, 60), ("H", 6000, 86_400)]
 
 
 def test_stream_resolve_covers_all(spark):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
 
@@ -39,11 +40,11 @@ def bytes_batches(batches: Iterable[pa.RecordBatch], most: int = 16 << 20) -> It
             yield batch.slice(at, size)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions of one batch."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType, most: int = 16 << 20) -> DataFrame:
+    """``mapInArrow`` for functions of one batch of about ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytes_batches(batches):
+        for batch in bytes_batches(batches, most):
             yield from fn(batch)
 
     return df.mapInArrow(run, schema)

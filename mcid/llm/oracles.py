@@ -66,3 +66,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_remo
   sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN lost USING (r)
 """
+
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), s AS (
+  SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d
+), tok AS (
+  SELECT r, doc_id, len AS dl, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS len, unnest(w) AS term FROM d) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tok GROUP BY term
+), q AS (
+  SELECT DISTINCT doc_id AS query_id, term FROM tok WHERE doc_id % 100 = 0
+), hit AS (
+  SELECT query_id, r, doc_id, sum(round((1e6::DOUBLE * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)))
+    * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))))::BIGINT)::BIGINT AS score
+  FROM q JOIN tok USING (term) JOIN df USING (term), s GROUP BY ALL
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM hit
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, oracles, quality, simhash, substrings
+from . import bpe, chat, licenses, oracles, quality, search, simhash, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, n=3)
@@ -60,4 +66,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-ORACLES |= {"op4_chat": oracles.CHAT, "op5_quality": oracles.QUALITY, "op8_substrings": oracles.SUBSTRINGS}
+ORACLES |= {"op1_search": oracles.SEARCH, "op4_chat": oracles.CHAT, "op5_quality": oracles.QUALITY, "op8_substrings": oracles.SUBSTRINGS}

@@ -81,34 +81,34 @@ def host_rates(df: DataFrame, host: Column) -> DataFrame:
         F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("x")
     )
     hosts = cut_lineage(hosts)
-    raw = F.col("x") / F.col("n")
-    # sums of powers give mean and spread in one pass; the one row is joined by a constant key
-    total = hosts.agg(F.sum("n").alias("tn"), F.sum("x").alias("tx"), F.sum(F.col("x") * raw).alias("txx"), F.count("*").alias("h")).select(
-        F.lit(1).alias("one"), (F.col("tx") / F.col("tn")).alias("m"), "tn", "txx", "h"
-    )
-    m = F.col("m")
-    within = m * (1 - m) * F.col("h") / F.col("tn")
-    spread = F.greatest(F.col("txx") / F.col("tn") - m * m - within, F.lit(1e-6))
-    strength = F.greatest(m * (1 - m) / spread - 1, F.lit(1.0))
-    shrunk = (F.col("x") + strength * m) / (F.col("n") + strength)
-    return hosts.withColumn("one", F.lit(1)).join(total, "one").select("host", "n", "x", shrunk.alias("rate"))
-
-
-def judged(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
-    """doc_id with its measures and verdict; the texts are read once."""
-    slim = docs.select("doc_id", host, "text")
-    df = measures(slim).withColumn("row", F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row")[host].alias(host)))
-    return finish(cut_lineage(rules(df)), host, limit)
-
-
-def finish(df: DataFrame, host: str, limit: float) -> DataFrame:
-    """Join the hosts' verdicts back. Few strict hosts are broadcast by their size, many are shuffled."""
-    strict = cut_lineage(host_rates(df, F.col("row")[host]).where(F.col("rate") > limit).select("host", F.lit(True).alias("strict")))
+    # sums of powers give mean and spread in one pass: four numbers for the driver
+    powers = [F.sum("n"), F.sum("x"), F.sum(F.col("x") * (F.col("x") / F.col("n"))), F.count("*")]
+    n, x, xx, h = (v or 0 for v in hosts.agg(*powers).first())
+    mean = x / n if n else 0.0
+    spread = max(xx / n - mean * mean - mean * (1 - mean) * h / n, 1e-6) if n else 1.0
+    strength = max(mean * (1 - mean) / spread - 1, 1.0)
+    return hosts.select("host", "n", "x", ((F.col("x") + strength * mean) / (F.col("n") + strength)).alias("rate"))
+
+
+def verdicts(df: DataFrame, rates: DataFrame, host: str, limit: float) -> DataFrame:
+    """Join the hosts' verdicts back: column ``kept``. Few strict hosts are broadcast by their size, many are shuffled."""
+    strict = cut_lineage(rates.where(F.col("rate") > limit).select("host", F.lit(True).alias("strict")))
     out = df.join(strict, F.col("row")[host].eqNullSafe(F.col("host")), "left").drop("host")
     out = out.withColumn("strict", F.coalesce("strict", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("strict") & F.col("soft_failed")))
 
 
+def judged(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
+    """doc_id (in ``row``) with its measures and verdict; the texts are read once, the measures written."""
+    df = measures(docs.select("doc_id", host, "text"))
+    df = cut_lineage(rules(df.withColumn("row", F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row")[host].alias(host)))))
+    return verdicts(df, host_rates(df, F.col("row")[host]), host, limit)
+
+
 def keep_good(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
-    """The kept documents, with their own columns."""
-    return finish(cut_lineage(rules(measures(docs))), host, limit).where("kept").select("row.*")
+    """The kept documents, with their own columns.
+
+    Measures are computed for the hosts and again for the documents: that is cheaper than writing all texts once more.
+    """
+    rates = host_rates(rules(measures(docs.select(host, "text"))), F.col("row")[host])
+    return verdicts(rules(measures(docs)), rates, host, limit).where("kept").select("row.*")

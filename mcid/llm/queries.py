@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, oracles, quality, search, simhash, substrings
+from . import bpe, chat, licenses, oracles, packing, quality, search, simhash, substrings, tokencounts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, n=3)
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages")).drop("url")
+
+
 #: A conversation whose texts look like the template's own marks.
 MARKS = "\\### Assistant: </turn> ok"
 
@@ -55,15 +60,26 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("hits")
 
 
+@query
+def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokencounts.upkeep(table(spark, sf_dir, "documents"), "byte_bpe_50k", path, public_tokenizers.PATTERN)
+
+
 @query
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), window=13)
 
 
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-ORACLES |= {"op1_search": oracles.SEARCH, "op4_chat": oracles.CHAT, "op5_quality": oracles.QUALITY, "op8_substrings": oracles.SUBSTRINGS}
+ORACLES |= {"op1_search": oracles.SEARCH, "op3_warc": oracles.WARC, "op4_chat": oracles.CHAT, "op5_quality": oracles.QUALITY, "op8_substrings": oracles.SUBSTRINGS}

@@ -29,8 +29,8 @@ V = "(?:version |v)?"
 
 #: Label, keyword, name. Names are patterns over lower-case words with single spaces.
 FAMILIES = [
-    ("mit", " mit ", f"mit(?: {L})?"),
-    ("mit", " expat ", f"expat(?: {L})?"),
+    ("mit", " mit ", f"mit {L}"),
+    ("mit", " expat ", f"expat {L}"),
     ("apache-2", " apache", f"apache(?: software)?(?: {L})? {V}2(?: 0)?"),
     ("apache-1.1", " apache", f"apache(?: software)?(?: {L})? {V}1 1"),
     ("gpl-1", "general public", f"gnu general public {L} {V}1(?: 0)?"),
@@ -48,7 +48,7 @@ FAMILIES = [
     ("bsd-3", " bsd", f"(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: {L})?"),
     ("bsd-4", " bsd", f"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: {L})?"),
     ("bsd-0", " 0bsd", "0bsd"),
-    ("isc", " isc ", f"isc(?: {L})?"),
+    ("isc", " isc ", f"isc {L}"),
     ("mpl-1.1", "mozilla public", f"mozilla public {L} {V}1 1"),
     ("mpl-2", "mozilla public", f"mozilla public {L} {V}2(?: 0)?"),
     ("mpl-2", " mpl", f"mpl {V}2(?: 0)?"),
@@ -60,7 +60,7 @@ FAMILIES = [
     ("artistic-2", " artistic", f"artistic {L} {V}2(?: 0)?"),
     ("artistic-1", " artistic", f"artistic {L} {V}1(?: 0)?"),
     ("bsl-1", " boost", f"boost software {L}(?: {V}1(?: 0)?)?"),
-    ("zlib", " zlib", f"zlib(?: libpng)?(?: {L})?"),
+    ("zlib", " zlib", f"zlib(?: libpng)? {L}"),
     ("unlicense", " unlicense", "unlicense"),
     ("wtfpl", " wtfpl", f"wtfpl(?: {V}2)?"),
     ("ofl-1.1", " open font", f"(?:sil )?open font {L}(?: {V}1 1)?"),

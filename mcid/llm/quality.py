@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rows import compute_once
 from ..session import cut_lineage
 from .common import words
 
@@ -63,7 +64,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     s = F.col("s")
     twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)))
     df = df.withColumn("p", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("s")
-    return df.withColumn("n_repeat_words", covered(F.col("p"), WINDOW)).drop("p")
+    df = df.withColumn("n_repeat_words", covered(F.col("p"), WINDOW))
+    # a filter on measures must not be pushed into the steps above, which would compute them again and again
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return compute_once(df.select("row", found.alias("found")), "m", F.col("found")).select("row", "m.*")
 
 
 def rules(df: DataFrame) -> DataFrame:

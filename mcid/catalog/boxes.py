@@ -259,7 +259,7 @@ def tile_to_frame(v: Views) -> DataFrame:
     "l2_normalize",
     None,
     """
-    SELECT vec_id, round(list_dot_product(u, u), 6) AS length, round(u[1], 6) AS u1, round(u[64], 6) AS u64
+    SELECT vec_id, round(list_dot_product(u, u), 6) AS length, unnest(range(1, len(u) + 1))::INTEGER AS position, round(unnest(u), 6) AS value
     FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u
           FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 9)) AS e FROM embeddings))""",
 )
@@ -267,11 +267,10 @@ def l2_normalize(v: Views) -> DataFrame:
     grown = v.table("embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 9)).alias("e")
     )
-    return grown.select("vec_id", vectors.unit(F.col("e")).alias("u")).select(
-        "vec_id",
-        F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("length"),
-        F.round(F.expr("u[0]"), 6).alias("u1"),
-        F.round(F.expr("u[63]"), 6).alias("u64"),
+    unit = grown.select("vec_id", vectors.unit(F.col("e")).alias("u"))
+    length = F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("length")
+    return unit.select("vec_id", length, F.posexplode("u").alias("p", "x")).select(
+        "vec_id", "length", (F.col("p") + 1).alias("position"), F.round("x", 6).alias("value")
     )
 
 

@@ -98,9 +98,9 @@ def unioned(v: Views) -> DataFrame:
     )
 
 
-@query("union_detections", "unioned", "SELECT camera_id, frame_no, box_id, x1, x2, score, source FROM unioned")
+@query("union_detections", "unioned", "SELECT camera_id, frame_no, box_id, x1, y1, x2, y2, score, source FROM unioned")
 def union_detections(v: Views) -> DataFrame:
-    return unioned(v).select("camera_id", "frame_no", "box_id", "x1", "x2", "score", "source")
+    return unioned(v).select("camera_id", "frame_no", "box_id", "x1", "y1", "x2", "y2", "score", "source")
 
 
 IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))
@@ -109,7 +109,7 @@ IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, lea
 
 NMS_SQL = f"""
     WITH RECURSIVE box AS (
-      SELECT *, row_number() OVER (PARTITION BY camera_id, frame_no ORDER BY score DESC, box_id, source) AS k FROM unioned),
+      SELECT *, row_number() OVER (PARTITION BY camera_id, frame_no ORDER BY score DESC, source <> 'pphuman', box_id, x1, y1, x2, y2) AS k FROM unioned),
     pair AS (SELECT a.camera_id, a.frame_no, a.k AS ka, b.k AS kb, a.source <> b.source AS crossing
              FROM box a JOIN box b ON a.camera_id = b.camera_id AND a.frame_no = b.frame_no AND a.k < b.k
              WHERE {IOU} > 0.5),
@@ -305,13 +305,13 @@ MEAN_SQL = """
     WITH pos AS (
       SELECT truth_id, camera_id, i, avg(vector[i]) AS x FROM (SELECT truth_id, camera_id, vector, unnest(range(1, 65)) AS i FROM points) GROUP BY 1, 2, 3),
     mean AS (SELECT truth_id, camera_id, list(x ORDER BY i) AS m FROM pos GROUP BY 1, 2)
-    SELECT truth_id, camera_id, round(m[1] / n, 6) AS v1, round(m[32] / n, 6) AS v32, round(m[64] / n, 6) AS v64
+    SELECT truth_id, camera_id, unnest(range(1, 65))::INTEGER AS position, round(unnest(m) / n, 6) AS value
     FROM (SELECT *, sqrt(list_dot_product(m, m)) AS n FROM mean)"""
 
 
 def _mean_columns(df: DataFrame, column: str) -> DataFrame:
-    picks = [F.round(F.col(column)[i], 6).alias(f"v{i + 1}") for i in (0, 31, 63)]
-    return df.select("truth_id", "camera_id", *picks)
+    found = df.select("truth_id", "camera_id", F.posexplode(column).alias("p", "x"))
+    return found.select("truth_id", "camera_id", (F.col("p") + 1).alias("position"), F.round("x", 6).alias("value"))
 
 
 @query("mean_embedding", "points", MEAN_SQL)

@@ -333,7 +333,7 @@ def embed_crops(v: Views) -> DataFrame:
     return out.select("det_id", *rounded)
 
 
-from .detections import MEAN_SQL  # noqa: E402
+from .detections import MEAN_SQL, _mean_columns  # noqa: E402
 
 
 @query("mean_vector", "points", MEAN_SQL)
@@ -342,4 +342,4 @@ def mean_vector(v: Views) -> DataFrame:
     embedding.register_mean_vector(v.spark)
     v.points.createOrReplaceTempView("mcid_points")
     out = v.spark.sql("SELECT truth_id, camera_id, mean_vector(vector) AS m FROM mcid_points GROUP BY truth_id, camera_id")
-    return out.select("truth_id", "camera_id", *[F.round(F.col("m")[i], 6).alias(f"v{i + 1}") for i in (0, 31, 63)])
+    return _mean_columns(out, "m")

@@ -1,64 +1,64 @@
-"""One camera's live tracks; the step shared by the batch and the stream tracker."""
+"""One camera's live tracks as columns; the step shared by the batch and the stream tracker."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 
-SEEN, BOX, AGE = 1, 0, 2
+STATE = np.dtype([("track", "i8"), ("box", "f8", 4), ("seen", "i8"), ("age", "i8")])
 
 
-class Tracker:
-    """Greedy tracking by overlap. ``live`` maps a track to [box, last frame, age];
-    its order decides between equal overlaps."""
+def overlaps(boxes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of every box with every other one."""
+    a, b = boxes[:, None, :], others[None, :, :]
+    sides = np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+    common = np.maximum(sides, 0).prod(axis=-1)
+    areas = [np.maximum(m[..., 2:] - m[..., :2], 0).prod(axis=-1) for m in (a, b)]
+    return common / np.maximum(areas[0] + areas[1] - common, 1e-6)
 
-    def __init__(self, iou_above: float = 0.2, confirm_at: int = 3, forget_after: int = 30) -> None:
-        self.iou_above, self.confirm_at, self.forget_after = iou_above, confirm_at, forget_after
-        self.live: dict[int, list] = {}
 
-    def _best(self, boxes: list[tuple]) -> list[int | None]:
-        """For each box, the live track with the greatest overlap above the bound."""
-        ids = list(self.live)
-        if not ids:
-            return [None] * len(boxes)
-        if len(ids) * len(boxes) <= 32:
-            # a handful of pairs is quicker without arrays
-            return [self._best_of_few(b) for b in boxes]
-        t = np.array([s[BOX] for s in self.live.values()], dtype=float)[None, :, :]
-        b = np.array(boxes, dtype=float)[:, None, :]
-        inter = np.clip(np.minimum(t, b)[..., 2:] - np.maximum(t, b)[..., :2], 0, None).prod(axis=2)
-        size = [np.clip(m[..., 2:] - m[..., :2], 0, None).prod(axis=2) for m in (t, b)]
-        overlap = inter / np.maximum(size[0] + size[1] - inter, 1e-6)
-        k = overlap.argmax(axis=1)
-        return [ids[j] if overlap[i, j] > self.iou_above else None for i, j in enumerate(k)]
+@dataclass
+class Tracker:
+    """Greedy tracking by overlap. ``live`` holds a row per track, oldest first; that
+    order decides between equal overlaps."""
 
-    def _best_of_few(self, b: tuple) -> int | None:
-        best, found = self.iou_above, None
-        for tid, (t, _, _) in self.live.items():
-            w, h = min(t[2], b[2]) - max(t[0], b[0]), min(t[3], b[3]) - max(t[1], b[1])
-            if w <= 0 or h <= 0:
-                continue
-            union = max(0.0, t[2] - t[0]) * max(0.0, t[3] - t[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
-            overlap = w * h / max(union, 1e-6)
-            if overlap > best:
-                best, found = overlap, tid
-        return found
+    iou_above: float = 0.2
+    confirm_at: int = 3
+    forget_after: int = 30
+    live: np.ndarray = field(default_factory=lambda: np.zeros(0, STATE))
+
+    def claims(self, boxes: np.ndarray) -> np.ndarray:
+        """For each box, the row of the live track with the greatest overlap above the bound, or -1."""
+        if not len(self.live):
+            return np.full(len(boxes), -1)
+        found = overlaps(boxes, self.live["box"])
+        row = found.argmax(axis=1)
+        return np.where(found[np.arange(len(boxes)), row] > self.iou_above, row, -1)
 
     def frame(self, frame_no: int, boxes: list[tuple[int, int, tuple]]) -> list[tuple]:
-        """(det, track, age, confirmed) for the boxes ``(det, number, box)`` of one
-        frame; an unmatched box opens the track of its own number."""
+        """(det, track, age, confirmed) for the boxes ``(det, number, box)`` of one frame.
+
+        All boxes claim against the tracks as they stand before the frame. A live track takes its first
+        claim; further claims of it give no row. A box without a claim opens the track of its own number.
+        """
+        det = np.array([b[0] for b in boxes], np.int64)
+        opened = np.zeros(len(boxes), STATE)
+        opened["track"] = [b[1] for b in boxes]
+        opened["box"] = np.reshape([b[2] for b in boxes], (-1, 4))
+        opened["seen"], opened["age"] = frame_no, 1
         # frames without boxes would have dropped these before this frame
-        for tid in [t for t, s in self.live.items() if frame_no - s[SEEN] > self.forget_after + 1]:
-            del self.live[tid]
-        chosen = self._best([b for _, _, b in boxes])
-        known, used, out = set(self.live), set(), []
-        for (det, number, b), tid in zip(boxes, chosen):
-            tid = number if tid is None else tid
-            if tid in known and tid in used:
-                continue
-            age = self.live[tid][AGE] + 1 if tid in self.live else 1
-            self.live[tid] = [b, frame_no, age]
-            used.add(tid)
-            out.append((det, tid, age, age >= self.confirm_at))
-        for tid in [t for t, s in self.live.items() if t not in used and frame_no - s[SEEN] > self.forget_after]:
-            del self.live[tid]
-        return out
+        self.live = self.live[frame_no - self.live["seen"] <= self.forget_after + 1]
+        claim = self.claims(opened["box"])
+        rows, first = np.unique(claim, return_index=True)
+        rows, first = rows[rows >= 0], first[rows >= 0]
+        self.live["box"][rows] = opened["box"][first]
+        self.live["seen"][rows] = frame_no
+        self.live["age"][rows] += 1
+        current = opened.copy()
+        current[first] = self.live[rows]
+        answered = claim < 0
+        answered[first] = True
+        self.live = np.concatenate([self.live[frame_no - self.live["seen"] <= self.forget_after], opened[claim < 0]])
+        out = current[answered]
+        return list(zip(det[answered].tolist(), out["track"].tolist(), out["age"].tolist(), (out["age"] >= self.confirm_at).tolist()))

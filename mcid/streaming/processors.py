@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,13 +188,14 @@ class Tracks(_Processor):
         self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        from ..operators.tracker import Tracker
+        from ..operators.tracker import STATE, Tracker
 
-        tracker = Tracker(**self.options)
+        tracker, held = Tracker(**self.options), []
         # tracks open in the order of their numbers
         for k, v in sorted(self.live.iterator(), key=lambda kv: kv[0][0]):
-            tracker.live[k[0]] = [tuple(v[:4]), v[4], v[5]]
-        before = set(tracker.live)
+            held.append((k[0], tuple(v[:4]), v[4], v[5]))
+        tracker.live = np.array(held, STATE)
+        before = {h[0] for h in held}
         n = self.count.get()[0] if self.count.exists() else 0
         out = []
         for frame_no, part in _ordered(rows, ["frame_no", "det_id"]).groupby("frame_no", sort=True):
@@ -202,9 +204,9 @@ class Tracks(_Processor):
                 n += 1
                 boxes.append((det, n, tuple(b)))
             out += [(key[0], frame_no, *row) for row in tracker.frame(int(frame_no), boxes)]
-        for k in before - set(tracker.live):
+        for k in before - set(tracker.live["track"].tolist()):
             self.live.removeKey((k,))
-        for k, (box, frame, age) in tracker.live.items():
+        for k, box, frame, age in tracker.live.tolist():
             self.live.updateValue((k,), (*box, int(frame), age))
         self.count.update((n,))
         yield pd.DataFrame(out, columns=self.columns)

@@ -121,16 +121,30 @@ def test_track_boxes(spark, seed):
     assert got == sorted(naive_tracks(rows))
 
 
-def test_matrix_and_loop_agree():
+def test_a_track_takes_its_first_claim():
     from mcid.operators.tracker import Tracker
 
-    rnd = random.Random(7)
-    t = Tracker()
-    for i in range(20):
-        x, y = rnd.randrange(300), rnd.randrange(300)
-        t.live[i] = [(x, y, x + 80, y + 90), 0, 1]
-    asked = [(x, y, x + 70, y + 80) for x, y in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(10))]
-    assert t._best(asked) == [t._best_of_few(b) for b in asked]
+    t = Tracker(confirm_at=2)
+    a, b = (0.0, 0.0, 10.0, 10.0), (50.0, 50.0, 60.0, 60.0)
+    assert t.frame(1, [(1, 1, a), (2, 2, b)]) == [(1, 1, 1, False), (2, 2, 1, False)]
+    # 4 claims the track that 3 has taken; 5 overlaps nothing
+    assert t.frame(2, [(3, 3, a), (4, 4, (1.0, 0.0, 11.0, 10.0)), (5, 5, (90.0, 0.0, 99.0, 9.0))]) == [(3, 1, 2, True), (5, 5, 1, False)]
+    assert t.live["track"].tolist() == [1, 2, 5]
+    # 31 frames later 2 is gone before the claims, and 5 after them
+    assert t.frame(33, [(6, 6, a)]) == [(6, 1, 3, True)] and t.live["track"].tolist() == [1]
+    assert t.frame(64, []) == [] and not len(t.live)
+
+
+@pytest.mark.parametrize("limit", [0, 512])
+def test_equal_scores_keep_the_primary_box(spark, limit):
+    rows = [
+        ("C", 1, 7, 0.0, 0.0, 10.0, 10.0, 0.9, "sahi"), ("C", 1, 7, 1.0, 0.0, 11.0, 10.0, 0.9, "pphuman"),
+        ("C", 1, 3, 0.0, 1.0, 10.0, 11.0, 0.9, "sahi"), ("C", 2, 1, 0.0, 0.0, 10.0, 10.0, 0.5, "sahi"),
+        ("C", 2, 1, 0.5, 0.0, 10.0, 10.0, 0.5, "sahi"), ("C", 2, 2, 40.0, 0.0, 50.0, 10.0, 0.5, "pphuman"),
+    ]
+    df = spark.createDataFrame(rows, "camera_id string, frame_no bigint, box_id bigint, x1 double, y1 double, x2 double, y2 double, score double, source string")
+    got = detections.suppress(df, ["camera_id", "frame_no"], array_limit=limit)
+    assert sorted((r.frame_no, r.box_id, r.x1, r.source) for r in got.collect()) == [(1, 7, 1.0, "merged"), (2, 1, 0.0, "sahi"), (2, 2, 40.0, "pphuman")]
 
 
 def test_sessions_split_at_the_gap(spark):

@@ -124,17 +124,17 @@ def label_metrics(v: Views) -> DataFrame:
     "topk_accuracy",
     "cand tl",
     """
-    SELECT count(*) AS tracklets, round(avg(one), 9) AS top_1_accuracy, round(avg(many), 9) AS top_5_accuracy FROM (
+    SELECT count(*) AS tracklets, round(avg(coalesce(one, 0)), 9) AS top_1_accuracy, round(avg(coalesce(many, 0)), 9) AS top_5_accuracy FROM tl LEFT JOIN (
       SELECT r.tracklet_id, max(CASE WHEN a.truth_id = b.truth_id AND rank <= 1 THEN 1 ELSE 0 END) AS one, max(CASE WHEN a.truth_id = b.truth_id THEN 1 ELSE 0 END) AS many
       FROM (SELECT *, row_number() OVER (PARTITION BY tracklet_id ORDER BY cosine DESC, cand_tracklet_id) AS rank FROM cand) r
-      JOIN tl a ON a.tracklet_id = r.tracklet_id JOIN tl b ON b.tracklet_id = r.cand_tracklet_id WHERE rank <= 5 GROUP BY 1)""",
+      JOIN tl a ON a.tracklet_id = r.tracklet_id JOIN tl b ON b.tracklet_id = r.cand_tracklet_id WHERE rank <= 5 GROUP BY 1) USING (tracklet_id)""",
 )
 def topk_accuracy(v: Views) -> DataFrame:
     truth = v.tracklets.select("tracklet_id", "truth_id")
     ranked = candidates.rank_hits(hits(v), 5).join(truth, "tracklet_id").join(
         truth.select(F.col("tracklet_id").alias("cand_tracklet_id"), F.col("truth_id").alias("cand_truth_id")), "cand_tracklet_id"
     )
-    out = evaluation.topk_accuracy(ranked)
+    out = evaluation.topk_accuracy(truth, ranked)
     return out.select("tracklets", *[F.round(c, 9).alias(c) for c in ("top_1_accuracy", "top_5_accuracy")])
 
 
@@ -150,14 +150,21 @@ def predicted_boxes(v: Views) -> DataFrame:
 register_view(
     "boxpair",
     """
-    SELECT true_id, pred_id, iou FROM (
-      SELECT *, row_number() OVER (PARTITION BY camera_id, frame_no, true_id ORDER BY iou DESC, pred_id) AS rt,
-             row_number() OVER (PARTITION BY camera_id, frame_no, pred_id ORDER BY iou DESC, true_id) AS rp FROM (
+    WITH RECURSIVE pr AS (
+      SELECT *, row_number() OVER (PARTITION BY camera_id, frame_no ORDER BY iou DESC, true_id, pred_id) AS k FROM (
         SELECT *, round(i / ((tx2 - tx1) * (ty2 - ty1) + (px2 - px1) * (py2 - py1) - i), 9) AS iou FROM (
           SELECT t.camera_id, t.frame_no, t.det_id AS true_id, p.aux_id AS pred_id, t.x1 AS tx1, t.x2 AS tx2, t.y1 AS ty1, t.y2 AS ty2,
                  p.x1 AS px1, p.x2 AS px2, p.y1 AS py1, p.y2 AS py2,
                  greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS i
-          FROM det t JOIN aux p ON t.camera_id = p.camera_id AND t.frame_no = p.ts_ms // 200)) WHERE iou >= 0.5) WHERE rt = 1 AND rp = 1""",
+          FROM det t JOIN aux p ON t.camera_id = p.camera_id AND t.frame_no = p.ts_ms // 200)) WHERE iou >= 0.5),
+    taken AS (
+      SELECT camera_id, frame_no, k, [true_id] AS ts, [pred_id] AS ps, [k] AS ks FROM pr WHERE k = 1
+      UNION ALL
+      SELECT t.camera_id, t.frame_no, n.k, list_concat(t.ts, CASE WHEN hit THEN [] ELSE [n.true_id] END),
+             list_concat(t.ps, CASE WHEN hit THEN [] ELSE [n.pred_id] END), list_concat(t.ks, CASE WHEN hit THEN [] ELSE [n.k] END)
+      FROM (SELECT *, k + 1 AS next FROM taken) t JOIN pr n ON n.camera_id = t.camera_id AND n.frame_no = t.frame_no AND n.k = t.next,
+           LATERAL (SELECT list_contains(t.ts, n.true_id) OR list_contains(t.ps, n.pred_id) AS hit) h)
+    SELECT true_id, pred_id, iou FROM pr JOIN (SELECT camera_id, frame_no, unnest(arg_max(ks, k)) AS k FROM taken GROUP BY 1, 2) USING (camera_id, frame_no, k)""",
     ["det", "aux"],
 )
 
@@ -171,11 +178,11 @@ def join_boxes(v: Views) -> DataFrame:
     "detection_metrics",
     "boxpair",
     """
-    SELECT camera_id, tp, preds - tp AS fp, truths - tp AS fn, round(tp / truths, 9) AS recall, round(tp / preds, 9) AS precision,
-           round(small_tp / small, 9) AS small_recall, round((preds - tp) / hours, 6) AS fp_per_hour
+    SELECT camera_id, coalesce(tp, 0) AS tp, coalesce(preds, 0) - coalesce(tp, 0) AS fp, coalesce(truths - tp, 0) AS fn, round(tp / truths, 9) AS recall, round(coalesce(tp, 0) / preds, 9) AS precision,
+           round(small_tp / small, 9) AS small_recall, round((coalesce(preds, 0) - tp) / hours, 6) AS fp_per_hour
     FROM (SELECT camera_id, count(*) AS truths, count(pred_id) AS tp, count(*) FILTER (y2 - y1 < 80) AS small, count(pred_id) FILTER (y2 - y1 < 80) AS small_tp,
                  (max(ts_ms) - min(ts_ms))::DOUBLE / 3600000 AS hours FROM det LEFT JOIN boxpair ON true_id = det_id GROUP BY 1)
-    JOIN (SELECT camera_id, count(*) AS preds FROM aux GROUP BY 1) USING (camera_id)""",
+    FULL JOIN (SELECT camera_id, count(*) AS preds FROM aux GROUP BY 1) USING (camera_id)""",
 )
 def detection_metrics(v: Views) -> DataFrame:
     out = evaluation.detection_metrics(true_boxes(v), predicted_boxes(v))

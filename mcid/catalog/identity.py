@@ -321,9 +321,8 @@ def named_tracklets(v: Views) -> DataFrame:
     "identity_tracklets",
     "ident tl",
     """
-    SELECT i.global_id, i.first_camera_id, t.tracklet_id, t.start_ms FROM ident i JOIN (
-      SELECT truth_id AS global_id, tracklet_id, start_ms, row_number() OVER (PARTITION BY truth_id ORDER BY start_ms DESC, tracklet_id) AS r FROM tl) t
-    USING (global_id) WHERE r <= 200""",
+    SELECT i.global_id, i.first_camera_id, t.tracklet_id, t.start_ms
+    FROM ident i JOIN (SELECT truth_id AS global_id, tracklet_id, start_ms FROM tl) t USING (global_id)""",
 )
 def identity_tracklets(v: Views) -> DataFrame:
     return read_api.identity_tracklets(identity.rollup(sightings(v)), named_tracklets(v)).select(

@@ -16,8 +16,9 @@ from .storage import judged
     "fps_report",
     "det",
     """
-    SELECT camera_id, round((n - 1) / ((hi - lo)::DOUBLE / 1000), 9) AS fps FROM (
-      SELECT camera_id, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi FROM det GROUP BY 1)""",
+    WITH c AS (SELECT camera_id, (n - 1) / ((hi - lo)::DOUBLE / 1000) AS fps FROM (
+      SELECT camera_id, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi FROM det GROUP BY 1))
+    SELECT camera_id, round(fps, 9) AS fps FROM c UNION ALL SELECT 'total', round(sum(fps), 9) FROM c""",
 )
 def fps_report(v: Views) -> DataFrame:
     return telemetry.fps_report(v.detections).select("camera_id", F.round("fps", 9).alias("fps"))
@@ -115,7 +116,7 @@ def counters(v: Views) -> DataFrame:
     FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY start_ms, tracklet_id) AS n FROM (
             SELECT *, sum(CASE WHEN best_crop_uri IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY start_ms, tracklet_id) AS run FROM tl)
           WHERE best_crop_uri IS NOT NULL)
-    WHERE n % 5 = 0 ORDER BY start_ms, tracklet_id LIMIT 500""",
+    WHERE n % 5 = 0""",
 )
 def sample_every_n(v: Views) -> DataFrame:
     return telemetry.sample_every_n(v.tracklets, 5).select("tracklet_id", "staged_key")

@@ -15,14 +15,17 @@ HOUR_MS = 3_600_000
 
 def fps_report(ticks: DataFrame) -> DataFrame:
     """Frames a second per camera: the inverse of the mean gap between frames. The
-    gaps of a camera add up to its whole span, so one small aggregate is enough."""
+    gaps of a camera add up to its whole span, so one small aggregate is enough. The row
+    ``total`` is the sum over the cameras."""
     spans = ticks.groupBy("camera_id").agg(
         F.count("*").alias("frames"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")
     )
     gap = (F.col("hi") - F.col("lo")) / 1000.0 / (F.col("frames") - 1)
-    return spans.select(
+    each = spans.select(
         "camera_id", "frames", F.when((F.col("frames") > 1) & (F.col("hi") > F.col("lo")), 1 / gap).otherwise(0.0).alias("fps")
     )
+    total = each.agg(F.sum("frames").alias("frames"), F.sum("fps").alias("fps")).where("frames is not null")
+    return each.unionByName(total.select(F.lit("total").alias("camera_id"), "frames", "fps"))
 
 
 def rolling_fps(ticks: DataFrame, window_ms: int = 5_000, chunk_ms: int = 60_000) -> DataFrame:
@@ -143,7 +146,7 @@ def counters(df: DataFrame, name: str, label: Column) -> DataFrame:
 
 
 def sample_every_n(
-    tracklets: DataFrame, every: int = 50, limit: int | None = 500, bucket: str = "labeler", site: str = "site_1"
+    tracklets: DataFrame, every: int = 50, limit: int | None = None, bucket: str = "labeler", site: str = "site_1"
 ) -> DataFrame:
     """Every n-th tracklet in time order with its labelling path; a tracklet
     without a crop restarts the count. Numbering is by day, not in one task."""

@@ -41,8 +41,10 @@ def identity_lookup(identities: DataFrame, tracklets: DataFrame, global_id: str,
     return identities.where(F.col("global_id") == global_id).join(latest, "global_id", "left")
 
 
-def identity_tracklets(identities: DataFrame, tracklets: DataFrame, limit: int = 200) -> DataFrame:
-    """The same for all identities; each one's rows are trimmed before the shuffle."""
+def identity_tracklets(identities: DataFrame, tracklets: DataFrame, limit: int | None = None) -> DataFrame:
+    """The same for all identities; a caller's limit trims each one's rows before the shuffle."""
+    if limit is None:
+        return identities.join(tracklets, "global_id")
     w = Window.partitionBy("global_id").orderBy(F.col("start_ms").desc(), "tracklet_id")
     latest = tracklets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
     return identities.join(latest, "global_id")

@@ -129,6 +129,12 @@ def search(
     best overall are among the best of each cell. Tracklet vectors and points are
     copied once per block in reach.
     """
+    # vectors meet those of their own length only; ones that are missing or hold gaps meet none
+    queries, points = (
+        d.where(F.coalesce(F.size("vector") > 0, F.lit(False)) & ~F.exists("vector", lambda x: x.isNull())).withColumn("_dim", F.size("vector"))
+        for d in (queries, points)
+    )
+    match = [*match, "_dim"]
     qk, pk = ["camera_id", *match], ["cand_camera_id", *match]
     width = block_seconds
     pts = points.withColumnRenamed("camera_id", "cand_camera_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import session_id
-from ..session import cut_lineage
+from ..session import cut_lineage, delete_cuts
 from .candidates import DAY_SECONDS
 
 
@@ -68,6 +68,7 @@ def canonical_ids(merges: DataFrame) -> DataFrame:
         )
         hop = cut_lineage(hop)
         moved = not hop.where("moved").isEmpty()
+        delete_cuts(links)
         links = hop.select("old_global_id", "global_id")
         if not moved:
             return links

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only when none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not spark.sparkContext.master.startswith("local") and not re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", named, re.I):
+            raise RuntimeError(f"spark.checkpoint.dir is {named}, which is local to each machine; name a folder that all executors share")
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -66,3 +69,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/mcid-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_cuts(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more; other files stay."""
+    for cut in cuts:
+        spark = cut.sparkSession
+        for folder in {f.rpartition("/")[0] for f in cut.inputFiles()}:
+            if "/mcid-cut-" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

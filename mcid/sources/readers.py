@@ -24,6 +24,13 @@ def _cast(c: str, kind: str) -> Column:
     return F.expr(f"try_cast({c} AS {kind})")
 
 
+_WHOLE = ("frame_id", "local_track_id", "timestamp_ms", "received_at_ms")
+
+
+def _whole(c: str) -> Column:
+    return F.coalesce(_cast(c, "bigint"), F.expr(f"try_cast(_d.{c} AS bigint)"))
+
+
 def judge_detections(df: DataFrame, column: str = "value", now_ms: Column | None = None) -> DataFrame:
     """Typed detections from JSON text, with a ``reason`` where a row is unusable.
 
@@ -34,16 +41,18 @@ def judge_detections(df: DataFrame, column: str = "value", now_ms: Column | None
     now = now_ms if now_ms is not None else F.unix_millis(F.current_timestamp())
     keep = [F.col(c) for c in df.columns]
     j = F.from_json(column, _RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    raw = compute_once(df, "_j", j).select(*keep, "_j.*")
+    # numbers once more as doubles: 7.0 is truncated, the text "7.0" is not a number
+    d = F.from_json(column, ", ".join(f"{c} double" for c in _WHOLE), {"mode": "PERMISSIVE"})
+    raw = compute_once(compute_once(df, "_j", j), "_d", d).select(*keep, "_j.*", "_d")
     blank = F.lit("[0.0,0.0,0.0,0.0]")
     box_text = F.when(F.coalesce("bbox", F.lit("")).isin("", "null", "[]"), blank).otherwise(F.col("bbox"))
     typed = raw.withColumns(
         {
-            "_frame": _cast("frame_id", "bigint"),
-            "_track": _cast("local_track_id", "bigint"),
+            "_frame": _whole("frame_id"),
+            "_track": _whole("local_track_id"),
             "_score": F.when(F.col("score").isNull(), F.lit(0.0)).otherwise(_cast("score", "double")),
-            "_ts": F.when(F.col("timestamp_ms").isNull(), now).otherwise(_cast("timestamp_ms", "bigint")),
-            "_received": F.when(F.col("received_at_ms").isNull(), now).otherwise(_cast("received_at_ms", "bigint")),
+            "_ts": F.when(F.col("timestamp_ms").isNull(), now).otherwise(_whole("timestamp_ms")),
+            "_received": F.when(F.col("received_at_ms").isNull(), now).otherwise(_whole("received_at_ms")),
             "_box": F.slice(F.from_json(box_text, "array<double>"), 1, 4),
             "_camera": names.camera_id(F.col("camera_id")),
         }

@@ -34,13 +34,15 @@ def constrain(df: DataFrame, column: str, allowed: Sequence[str]) -> tuple[DataF
 
 
 def new_rows(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored yet, one per key."""
-    return df.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+    """Rows whose key is not stored yet, one per key: the smallest, so that a retry writes the same."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*df.columns)).alias("_r")).select("_r.*")
+    return first.join(stored.select(*keys), list(keys), "left_anti")
 
 
 def upsert_latest(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Insert or replace by key: the latest incoming row wins over the stored one."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    """Insert or replace by key: the latest incoming row wins over the stored one. Equal
+    versions go by the whole row, so that a retry writes the same."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), *[F.col(c).desc() for c in incoming.columns if c != order])
     newest = incoming.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return stored.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
 

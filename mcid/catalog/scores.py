@@ -309,11 +309,13 @@ def enabled_zones(v: Views) -> DataFrame:
     "sql_functions",
     "dec det aux",
     """
-    SELECT dec.event_id, decision, round(final, 9) AS final_score, round(iou, 9) AS iou, slug FROM dec
-    JOIN (SELECT event_id, i / u AS iou, lower(replace('Zone A', ' ', '-')) AS slug FROM (
-        SELECT event_id, i, (d.x2 - d.x1) * (d.y2 - d.y1) + (a.x2 - a.x1) * (a.y2 - a.y1) - i AS u FROM (
-          SELECT d.event_id, d, a, greatest(0, least(d.x2, a.x2) - greatest(d.x1, a.x1))
-             * greatest(0, least(d.y2, a.y2) - greatest(d.y1, a.y1)) AS i FROM det d JOIN aux a ON d.det_id = a.aux_id AND d.frame_id = 0))) USING (event_id)""",
+    SELECT det_id, dec.event_id, decision, round(final, 9) AS final_score, round(i / u, 9) AS iou, round(cosine, 9) AS cosine, inside, 'zone-a' AS slug FROM dec
+    JOIN (SELECT *, (x2 - x1) * (y2 - y1) + (ax2 - ax1) * (ay2 - ay1) - i AS u FROM (
+          SELECT d.det_id, d.event_id, d.x1, d.y1, d.x2, d.y2, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2,
+             greatest(0, least(d.x2, a.x2) - greatest(d.x1, a.x1)) * greatest(0, least(d.y2, a.y2) - greatest(d.y1, a.y1)) AS i,
+             CASE WHEN d.x1 = 0 AND d.y1 = 0 THEN 0 ELSE list_cosine_similarity([d.x1, d.y1]::DOUBLE[], [d.x2, d.y2]::DOUBLE[]) END AS cosine,
+             d.x1 >= 200 AND d.x1 < 800 AND d.y1 >= 200 AND d.y1 < 600 AS inside
+          FROM det d JOIN aux a ON d.det_id = a.aux_id)) USING (event_id)""",
 )
 def sql_functions(v: Views) -> DataFrame:
     """The scalar rules called by name from Spark SQL."""
@@ -323,11 +325,13 @@ def sql_functions(v: Views) -> DataFrame:
     v.aux.createOrReplaceTempView("mcid_aux")
     return v.spark.sql(
         """
-        SELECT s.event_id,
+        SELECT d.det_id, s.event_id,
                decide(top1_score, top2_score, link, final_score(reid_similarity, temporal_score, camera_topology_score, quality_score, zone_score)) AS decision,
                round(final_score(reid_similarity, temporal_score, camera_topology_score, quality_score, zone_score), 9) AS final_score,
                round(bbox_iou(d.x1, d.y1, d.x2, d.y2, a.x1, a.y1, a.x2, a.y2), 9) AS iou,
+               round(cosine(array(d.x1, d.y1), array(d.x2, d.y2)), 9) AS cosine,
+               point_in_polygon(array(array(200D, 200D), array(800D, 200D), array(800D, 600D), array(200D, 600D)), d.x1, d.y1) AS inside,
                zone_slug('Zone A') AS slug
-        FROM mcid_scored s JOIN mcid_det d ON s.event_id = d.event_id AND d.frame_id = 0
+        FROM mcid_scored s JOIN mcid_det d ON s.event_id = d.event_id
         JOIN mcid_aux a ON a.aux_id = d.det_id"""
     )

@@ -1,11 +1,9 @@
-"""Schemas of the relations and streams, as Spark types."""
+"""Schemas of the relations, as Spark reads them."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-BBOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")])
-
 CAMERA = "camera_id string, name string, rtsp_url_env_key string, width int, height int, fps_target int, is_active boolean"
 CAMERA_LINK = (
     "from_camera_id string, to_camera_id string, min_travel_seconds int, "
@@ -15,52 +13,6 @@ ZONE = (
     "zone_id string, camera_id string, name string, polygon_json string, zone_type string, "
     "is_entry_zone boolean, is_exit_zone boolean, enabled boolean, ord int"
 )
-DETECTION = (
-    "schema_version string, event_id string, source string, run_id string, camera_id string, "
-    "frame_id bigint, timestamp_ms bigint, received_at_ms bigint, local_track_id bigint, "
-    "bbox array<double>, score double, crop_path string, embedding array<float>, frame_uri string"
-)
-AUX_DETECTION = "camera_id string, frame_id bigint, timestamp_ms bigint, detections array<array<double>>"
-TRACKLET = (
-    "tracklet_id string, global_id string, camera_id string, local_track_id bigint, "
-    "start_ms bigint, end_ms bigint, start_zone_id string, end_zone_id string, best_crop_uri string, "
-    "quality_score double, frame_count bigint, embedding_count bigint, source string, provisional boolean"
-)
-GALLERY_POINT = (
-    "point_id string, vector array<float>, global_id string, tracklet_id string, camera_id string, "
-    "local_track_id bigint, zone_id string, site_id string, timestamp bigint, quality_score double, "
-    "model_name string, model_version string, embedding_version string, crop_uri string"
-)
-IDENTITY = (
-    "global_id string, session_id string, first_seen_ms bigint, last_seen_ms bigint, "
-    "first_camera_id string, last_camera_id string, status string, confidence_state string"
-)
-IDENTITY_DECISION = (
-    "tracklet_id string, source_camera_id string, candidate_camera_id string, assigned_global_id string, "
-    "decision_type string, top1_global_id string, top1_camera_id string, top1_score double, "
-    "top2_global_id string, top2_camera_id string, top2_score double, reid_similarity double, "
-    "temporal_score double, camera_topology_score double, quality_score double, zone_score double, "
-    "final_score double, reason string, stage string, confidence_state string, created_ms bigint"
-)
-ZONE_EVENT = (
-    "global_id string, tracklet_id string, camera_id string, zone_id string, event_type string, "
-    "ts_ms bigint, confidence double"
-)
-DWELL_SESSION = (
-    "global_id string, zone_id string, camera_id string, entered_ms bigint, exited_ms bigint, "
-    "duration_seconds bigint, status string"
-)
-MODEL_VERSION = (
-    "model_name string, model_version string, framework string, task string, weights_uri string, "
-    "config_uri string, embedding_dim int, is_active boolean"
-)
-SYSTEM_METRIC = "metric_name string, metric_value double, camera_id string, tags map<string,string>, captured_ms bigint"
-MERGE_AUDIT = "old_global_id string, new_global_id string, operator string, reason string, score double, created_ms bigint"
-
-DECISION_TYPES = ("match", "new", "candidate", "ambiguous", "held")
-IDENTITY_STATUS = ("active", "merged", "expired")
-CONFIDENCE_STATES = ("firm", "ambiguous", "held")
-
 LABEL_FILE = T.StructType(
     [
         T.StructField("dataset_name", T.StringType()),

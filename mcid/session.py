@@ -67,7 +67,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (a checkpointed plan keeps inferred constraints, which grow with the rounds).
     """
     path = f"{shared_dir(df.sparkSession)}/mcid-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,12 +9,14 @@ Method, in three jobs:
    mostly share one, so a document gives about one anchor row per five words. Only windows whose anchor
    occurs in two documents can repeat. Anchors are combined within a batch before the shuffle: one row per
    batch stands for all of its documents, the others go to keys of their own.
-2. Trees. The candidate suffixes are range-partitioned by their words: the range bounds are prefixes of
-   varying length that cut the suffixes into groups of equal size, and a tree path shared by very many
-   documents is cut further by document id. In a sorted group the suffix tree is walked in order: a
-   run of equal first ``window`` words is an internal node that deep, its smallest document comes first, and
-   the others are removable. Only the first and last path of a group can go on in another group; these few
-   paths are settled together afterwards. Windows are compared by their words, not by hashes.
+2. Trees. A run of candidate windows with one anchor is a stretch of text that is shuffled once for all its
+   suffixes. The anchor is the five-word prefix by which stretches are grouped; the tree of a group is cut at depth
+   ``window`` and streamed in order of document ids, so the first visit of a node that deep is its smallest
+   document and later ones are removable: memory holds the nodes of one group. Groups of more than ``GROUP`` stretches
+   are split by longer prefixes: their suffixes are range-partitioned by their words, with bounds of as many
+   words as equal shares take, and a path shared by very many documents is cut further by document id. There the
+   suffixes come sorted; only the first and last path of a part can go on in another part, and these few paths are
+   settled together afterwards. Windows are always compared by their words, not by hashes.
 3. Removal. The removable positions of a document go back to its text.
 
 Neither a document's nor a path's rows are gathered beyond the length of one document.
@@ -44,6 +46,8 @@ from .common import map_arrow, release, texts
 
 #: Words of an anchor.
 ANCHOR = 5
+#: Stretches of a group that one task takes whole.
+GROUP = 20_000
 #: Bytes of text that one task works on at once.
 STEP = 4 << 20
 
@@ -92,67 +96,106 @@ def anchors(docs: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarra
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """key, rid, start, n, multi: one shuffled row per anchor and batch, and rows known to repeat under keys of their own."""
+    """anchor, salt, rid, start, n, multi: one row with salt 0 per anchor and batch (more only within one document)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
         a, d, s, n = anchors([t.split() for t in texts(batch, "text")], window)
         order = np.lexsort((s, d, a))
         a, d, s, n = a[order], d[order], s[order], n[order]
-        multi = np.zeros(len(a), bool)
+        multi, salt = np.zeros(len(a), bool), np.zeros(len(a), np.int32)
         if len(a):
             start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             count = np.diff(np.append(start, len(a)))
             several = np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start)
             multi = np.repeat(several, count)
-            rest = multi.copy()
-            rest[start] = False
-            own = (rid[d[rest]].astype(np.uint64) + s[rest].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            a[rest] = own
+            # the others are known to repeat; they only need to be spread
+            salt = np.where(multi, 1 + (d * 31 + s) % 1_000_003, 0).astype(np.int32)
+            salt[start] = 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a.view(np.int64)), pa.array(rid[d]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(multi)],
-            ["key", "rid", "start", "n", "multi"],
+            [pa.array(a.view(np.int64)), pa.array(salt), pa.array(rid[d]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(multi)],
+            ["anchor", "salt", "rid", "start", "n", "multi"],
         )
 
-    return map_arrow(docs.select("rid", "text"), run, "key long, rid long, start int, n int, multi boolean", STEP)
+    return map_arrow(docs.select("rid", "text"), run, "anchor long, salt int, rid long, start int, n int, multi boolean", STEP)
 
 
 def candidates(docs: DataFrame, window: int) -> DataFrame:
     """rid, runs: the windows of each document whose anchor occurs in another document."""
     rows = anchor_rows(docs, window)
-    same = Window.partitionBy("key")
-    met = rows.select("rid", "start", "n", "multi", (F.min("rid").over(same) < F.max("rid").over(same)).alias("two"), F.max("multi").over(same).alias("known"))
-    return met.where("multi or two or known").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    same = Window.partitionBy("anchor", "salt")
+    met = rows.select(
+        "rid", "anchor", "start", "n", "multi", (F.min("rid").over(same) < F.max("rid").over(same)).alias("two"), F.max("multi").over(same).alias("known")
+    )
+    return met.where("multi or two or known").groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
 
 
-def suffixes(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """words, doc_id, rid, pos of every candidate suffix, cut after ``window`` words."""
+def stretches(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """anchor, doc_id, rid, start, words of every candidate run: the words of all its windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, rids, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "rid", "runs"))
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for text, doc, rid, found in zip(texts(batch, "text"), ids, rids, runs):
             w = text.split()
-            pos = sorted({p for r in found for p in range(r["start"], r["start"] + r["n"])})
-            out[0].extend(b" ".join(w[p : p + window]).decode() for p in pos)
-            out[1].extend([doc] * len(pos))
-            out[2].extend([rid] * len(pos))
-            out[3].extend(pos)
+            for r in found:
+                at = r["start"]
+                for column, value in zip(out, (r["anchor"], doc, rid, at, b" ".join(w[at : at + r["n"] + window - 1]))):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        cols = [pa.array(v, k) for v, k in zip(out, kinds)]
+        yield pa.RecordBatch.from_arrays([*cols[:4], cols[4].cast(pa.string())], ["anchor", "doc_id", "rid", "start", "words"])
+
+    return map_arrow(docs.select("doc_id", "rid", "text").join(runs, "rid"), run, "anchor long, doc_id long, rid long, start int, words string", STEP)
+
+
+def trees(found: DataFrame, window: int) -> DataFrame:
+    """Removable suffixes of groups that one task takes whole: doc_id, rid, pos."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, nodes = None, {}
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for a, doc, rid, start, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if a != anchor:
+                    anchor, nodes = a, {}
+                w = words.split(" ")
+                for i in range(len(w) - window + 1):
+                    if nodes.setdefault(" ".join(w[i : i + window]), doc) < doc:
+                        out[0].append(doc)
+                        out[1].append(rid)
+                        out[2].append(start + i)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "rid", "pos"])
+
+    dealt = found.select("anchor", "doc_id", "rid", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, rid long, pos int")
+
+
+def suffixes(found: DataFrame, window: int) -> DataFrame:
+    """words (cut after ``window``), doc_id, rid, pos of every suffix of the given stretches."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for doc, rid, start, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            w = words.split(" ")
+            for i in range(len(w) - window + 1):
+                for column, value in zip(out, (" ".join(w[i : i + window]), doc, rid, start + i)):
+                    column.append(value)
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["words", "doc_id", "rid", "pos"])
 
-    return map_arrow(docs.select("doc_id", "rid", "text").join(runs, "rid"), run, "words string, doc_id long, rid long, pos int", STEP)
+    return map_arrow(found.select("doc_id", "rid", "start", "words"), run, "words string, doc_id long, rid long, pos int", STEP)
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the tree of one sorted group; memory holds one batch and one path.
+    """Walk the tree of one sorted part; memory holds one batch and one path.
 
-    Gives the removable suffixes, with null words, and all suffixes of the group's first and last path, with
+    Gives the removable suffixes, with null words, and all suffixes of the part's first and last path, with
     their words and ``removable`` left open.
     """
     path: str | None = None  # the path that goes on from the batch before
-    first = True  # that path is the group's first
-    held: list[pa.RecordBatch] = []  # rows of the last path in sight, which may be the group's last
+    first = True  # that path is the part's first
+    held: list[pa.RecordBatch] = []  # rows of the last path in sight, which may be the part's last
     low = 0
 
     def settled(rows: pa.RecordBatch, keep: pa.Array) -> pa.RecordBatch:
@@ -183,20 +226,20 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if path is not None and not first:
                 for h in held:
                     yield settled(h, pa.array(h.column("doc_id").to_numpy() > low))
-            begins_group = path is None
+            begins_part = path is None
             # paths that begin and end within this batch
             lows = doc[start]
             group = np.cumsum(new) - 1
             inner = np.zeros(rows.num_rows, bool)
-            lo = ends[1] if begins_group and len(start) > 1 else start[0]
+            lo = ends[1] if begins_part and len(start) > 1 else start[0]
             hi = start[-1]
             if hi > lo:
                 inner[lo:hi] = doc[lo:hi] > lows[group[lo:hi]]
                 yield settled(rows, pa.array(inner))
-            if begins_group and len(start) > 1:
+            if begins_part and len(start) > 1:
                 yield rows.slice(0, ends[1])
             path = w[int(start[-1])].as_py()
-            first = begins_group and len(start) == 1
+            first = begins_part and len(start) == 1
             last = rows.slice(int(start[-1]))
             low = int(lows[-1])
             held = []
@@ -213,24 +256,30 @@ def removable(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     runs = cut_lineage(candidates(docs, window))
     release(spark)
-    found = cut_lineage(suffixes(docs, runs, window))
+    found = cut_lineage(stretches(docs, runs, window))
     release(spark, runs)
+    large = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
+    small = cut_lineage(trees(found.join(large, "anchor", "left_anti"), window))
+    # the range partitioning samples its input, so that is written first
+    cut = cut_lineage(suffixes(found.join(large, "anchor", "left_semi"), window))
+    release(spark, found, large)
     order = ["words", "doc_id", "rid", "pos"]
-    walked = cut_lineage(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "words string, doc_id long, rid long, pos int"))
-    release(spark, found)
+    walked = cut_lineage(cut.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "words string, doc_id long, rid long, pos int"))
+    release(spark, cut)
     lows = walked.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("low"))
     late = walked.join(lows, "words").where("doc_id > low")
-    return walked.where("words is null").select("doc_id", "rid", "pos").union(late.select("doc_id", "rid", "pos"))
+    parts = [small, walked.where("words is null"), late]
+    return parts[0].union(parts[1].select("doc_id", "rid", "pos")).union(parts[2].select("doc_id", "rid", "pos"))
 
 
 def with_removals(docs: DataFrame, window: int) -> DataFrame:
-    """The documents with column ``_pos``: positions of their removable windows, or null."""
-    docs = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.col("_rid").alias("rid"))
-    found = cut_lineage(removable(known, window).groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("_pos")))
+    """The documents with column ``__mcid_pos``: positions of their removable windows, or null."""
+    docs = docs.withColumn("__mcid_rid", F.xxhash64("doc_id", "text"))
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.col("__mcid_rid").alias("rid"))
+    found = cut_lineage(removable(known, window).groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("__mcid_pos")))
     release(docs.sparkSession)
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_r"), "_pos")
-    return docs.join(found, (F.col("_rid") == F.col("_r")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc", "_r", "_rid")
+    found = found.select(F.col("doc_id").alias("__mcid_doc"), F.col("rid").alias("__mcid_r"), "__mcid_pos")
+    return docs.join(found, (F.col("__mcid_rid") == F.col("__mcid_r")) & (F.col("doc_id") == F.col("__mcid_doc")), "left").drop("__mcid_doc", "__mcid_r", "__mcid_rid")
 
 
 def gone(pos: list[int] | None, n: int, window: int) -> np.ndarray:
@@ -248,7 +297,7 @@ def digests(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         size, lost, sha = [], [], []
-        for text, pos in zip(texts(batch, "text"), batch.column(batch.schema.get_field_index("_pos")).to_pylist()):
+        for text, pos in zip(texts(batch, "text"), batch.column(batch.schema.get_field_index("__mcid_pos")).to_pylist()):
             w = text.split()
             size.append(len(w))
             out = gone(pos, len(w), window)
@@ -281,7 +330,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        pos = batch.column(batch.schema.get_field_index("_pos")).to_pylist()
+        pos = batch.column(batch.schema.get_field_index("__mcid_pos")).to_pylist()
         changed = [None if not p else cut_text(t, p, window) for t, p in zip(texts(batch, "text"), pos)]
         keep = pa.array([c is None or bool(c.strip()) for c in changed])
         cols = [batch.column(i) for i in range(len(names))]

@@ -42,10 +42,12 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
-from .common import map_arrow, release, texts
+from .common import bytes_batches, map_arrow, release, texts
 
 #: Words of an anchor.
 ANCHOR = 5
+#: Windows of a run, at most.
+RUN = 64
 #: Stretches of a group that one task takes whole.
 GROUP = 20_000
 #: Bytes of text that one task works on at once.
@@ -92,6 +94,9 @@ def anchors(docs: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarra
     if not len(low):
         return none.astype(np.uint64), none, none, none
     new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
+    # a text of few words in a circle has one anchor for very many windows
+    into = np.arange(len(low)) - np.repeat(new, np.diff(np.append(new, len(low))))
+    new = np.flatnonzero(into % RUN == 0)
     return low[new], doc[new], at[new], np.diff(np.append(new, len(low)))
 
 
@@ -134,17 +139,17 @@ def stretches(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """anchor, doc_id, rid, start, words of every candidate run: the words of all its windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, rids, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "rid", "runs"))
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for text, doc, rid, found in zip(texts(batch, "text"), ids, rids, runs):
+        runs = batch.column(batch.schema.get_field_index("runs"))
+        count = pc.list_value_length(runs).to_numpy()
+        anchor, start, n = (runs.flatten().field(i).to_numpy() for i in range(3))
+        ends, to = np.cumsum(count), (start + n + window - 1).tolist()
+        starts, out = start.tolist(), []
+        for text, a, z in zip(texts(batch, "text"), ends - count, ends):
             w = text.split()
-            for r in found:
-                at = r["start"]
-                for column, value in zip(out, (r["anchor"], doc, rid, at, b" ".join(w[at : at + r["n"] + window - 1]))):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        cols = [pa.array(v, k) for v, k in zip(out, kinds)]
-        yield pa.RecordBatch.from_arrays([*cols[:4], cols[4].cast(pa.string())], ["anchor", "doc_id", "rid", "start", "words"])
+            out += [b" ".join(w[i:j]) for i, j in zip(starts[a:z], to[a:z])]
+        ids = [pa.array(np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), count)) for c in ("doc_id", "rid")]
+        cols = [pa.array(anchor), *ids, pa.array(start), pa.array(out, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["anchor", "doc_id", "rid", "start", "words"])
 
     return map_arrow(docs.select("doc_id", "rid", "text").join(runs, "rid"), run, "anchor long, doc_id long, rid long, start int, words string", STEP)
 
@@ -154,7 +159,7 @@ def trees(found: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, nodes = None, {}
-        for batch in batches:
+        for batch in bytes_batches(batches, STEP):
             out: tuple[list, list, list] = ([], [], [])
             for a, doc, rid, start, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if a != anchor:

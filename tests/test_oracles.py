@@ -18,7 +18,7 @@ def con():
 def test_query(spark, con, name):
     diff, rows, _, _ = check(spark, con, name, QUERIES, ORACLES, SF)
     assert diff is None
-    assert rows >= 0
+    assert rows or name in ORACLES
 
 
 def test_every_check_has_a_query():

@@ -10,7 +10,7 @@ Method, in three jobs:
    occurs in two documents can repeat. Anchors are combined within a batch before the shuffle: one row per
    batch stands for all of its documents, the others go to keys of their own.
 2. Trees. A run of candidate windows with one anchor is a stretch of text that is shuffled once for all its
-   suffixes. The anchor is the five-word prefix by which stretches are grouped; the tree of a group is cut at depth
+   suffixes, and once for all documents of a batch that share it. The anchor is the five-word prefix by which stretches are grouped; the tree of a group is cut at depth
    ``window`` and streamed in order of document ids, so the first visit of a node that deep is its smallest
    document and later ones are removable: memory holds the nodes of one group. Groups of more than ``GROUP`` stretches
    are split by longer prefixes: their suffixes are range-partitioned by their words, with bounds of as many
@@ -136,7 +136,11 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """anchor, doc_id, rid, start, words of every candidate run: the words of all its windows."""
+    """The words of every candidate run: anchor, doc_id, rid, start, words, others.
+
+    Equal stretches of a batch are one row: that of the smallest document, with the others' doc_id, rid and
+    start packed as whole numbers.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         runs = batch.column(batch.schema.get_field_index("runs"))
@@ -147,11 +151,29 @@ def stretches(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
         for text, a, z in zip(texts(batch, "text"), ends - count, ends):
             w = text.split()
             out += [b" ".join(w[i:j]) for i, j in zip(starts[a:z], to[a:z])]
-        ids = [pa.array(np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), count)) for c in ("doc_id", "rid")]
-        cols = [pa.array(anchor), *ids, pa.array(start), pa.array(out, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["anchor", "doc_id", "rid", "start", "words"])
-
-    return map_arrow(docs.select("doc_id", "rid", "text").join(runs, "rid"), run, "anchor long, doc_id long, rid long, start int, words string", STEP)
+        words = pa.array(out, pa.binary()).dictionary_encode()
+        doc, rid = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), count) for c in ("doc_id", "rid"))
+        which = words.indices.to_numpy()
+        order = np.lexsort((start, rid, doc, which))
+        first = np.append(np.flatnonzero(np.diff(which[order], prepend=-1)), len(order))
+        packed = np.stack([doc, rid, start], axis=1).astype("<i8")[order]
+        rest = np.ones(len(order), bool)
+        rest[first[:-1]] = False
+        sizes = np.concatenate([[0], np.cumsum(np.diff(first) - 1)]) * 24
+        others = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(packed[rest].tobytes())])
+        lead = order[first[:-1]]
+        cols = [pa.array(c[lead]) for c in (anchor, doc, rid, start)]
+        yield pa.RecordBatch.from_arrays([*cols, words.dictionary.take(pa.array(which[lead])).cast(pa.string()), others], ["anchor", "doc_id", "rid", "start", "words", "others"])
+
+    schema = "anchor long, doc_id long, rid long, start int, words string, others binary"
+    return map_arrow(docs.select("doc_id", "rid", "text").join(runs, "rid"), run, schema)
+
+
+def places(doc: int, rid: int, start: int, others: bytes) -> list[tuple[int, int, int]]:
+    """doc_id, rid, start of all stretches that a row stands for."""
+    if not others:
+        return [(doc, rid, start)]
+    return [(doc, rid, start), *map(tuple, np.frombuffer(others, "<i8").reshape(-1, 3).tolist())]
 
 
 def trees(found: DataFrame, window: int) -> DataFrame:
@@ -161,18 +183,20 @@ def trees(found: DataFrame, window: int) -> DataFrame:
         anchor, nodes = None, {}
         for batch in bytes_batches(batches, STEP):
             out: tuple[list, list, list] = ([], [], [])
-            for a, doc, rid, start, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for a, doc, rid, start, words, others in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if a != anchor:
                     anchor, nodes = a, {}
                 w = words.split(" ")
-                for i in range(len(w) - window + 1):
-                    if nodes.setdefault(" ".join(w[i : i + window]), doc) < doc:
-                        out[0].append(doc)
-                        out[1].append(rid)
-                        out[2].append(start + i)
+                lows = [nodes.setdefault(" ".join(w[i : i + window]), doc) for i in range(len(w) - window + 1)]
+                for d, r, s in places(doc, rid, start, others):
+                    for i, low in enumerate(lows):
+                        if low < d:
+                            out[0].append(d)
+                            out[1].append(r)
+                            out[2].append(s + i)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "rid", "pos"])
 
-    dealt = found.select("anchor", "doc_id", "rid", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    dealt = found.select("anchor", "doc_id", "rid", "start", "words", "others").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     return dealt.mapInArrow(run, "doc_id long, rid long, pos int")
 
 
@@ -181,15 +205,18 @@ def suffixes(found: DataFrame, window: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, rid, start, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for doc, rid, start, words, others in zip(*(batch.column(i).to_pylist() for i in range(5))):
             w = words.split(" ")
-            for i in range(len(w) - window + 1):
-                for column, value in zip(out, (" ".join(w[i : i + window]), doc, rid, start + i)):
-                    column.append(value)
+            paths = [" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
+            for d, r, s in places(doc, rid, start, others):
+                out[0].extend(paths)
+                out[1].extend([d] * len(paths))
+                out[2].extend([r] * len(paths))
+                out[3].extend(range(s, s + len(paths)))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["words", "doc_id", "rid", "pos"])
 
-    return map_arrow(found.select("doc_id", "rid", "start", "words"), run, "words string, doc_id long, rid long, pos int", STEP)
+    return map_arrow(found.select("doc_id", "rid", "start", "words", "others"), run, "words string, doc_id long, rid long, pos int", STEP)
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

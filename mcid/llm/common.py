@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, delete_cuts
 
 #: White space between words, as one Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -50,21 +51,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def release(spark: SparkSession, *cuts: DataFrame) -> None:
-    """Delete cuts that nothing reads any more, and the shuffle files of finished jobs.
+def release(spark: SparkSession, *cuts: DataFrame, shuffles: bool = False) -> None:
+    """Delete cuts that nothing reads any more and, on demand, the shuffle files of finished jobs.
 
     Spark removes shuffle files once the driver has collected their plans as garbage; a long job of
-    many steps would otherwise keep all of them until its end.
+    many steps would otherwise keep all of them until its end. Python's hold on a plan ends when its
+    bridge to the JVM next looks for dropped objects, once a second.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for cut in cuts:
-        for name in {f.rpartition("/")[0] for f in cut.inputFiles()}:
-            if "/mcid-cut-" in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    delete_cuts(*cuts)
+    if shuffles:
+        gc.collect()
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -287,9 +287,9 @@ def removable(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, rid, pos of every removable window."""
     spark = docs.sparkSession
     runs = cut_lineage(candidates(docs, window))
-    release(spark)
+    release(spark, shuffles=True)
     found = cut_lineage(stretches(docs, runs, window))
-    release(spark, runs)
+    release(spark, runs, shuffles=True)
     large = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
     small = cut_lineage(trees(found.join(large, "anchor", "left_anti"), window))
     # the range partitioning samples its input, so that is written first
@@ -297,7 +297,7 @@ def removable(docs: DataFrame, window: int) -> DataFrame:
     release(spark, found, large)
     order = ["words", "doc_id", "rid", "pos"]
     walked = cut_lineage(cut.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "words string, doc_id long, rid long, pos int"))
-    release(spark, cut)
+    release(spark, cut, shuffles=True)
     lows = walked.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("low"))
     late = walked.join(lows, "words").where("doc_id > low")
     parts = [small, walked.where("words is null"), late]
@@ -309,7 +309,7 @@ def with_removals(docs: DataFrame, window: int) -> DataFrame:
     docs = docs.withColumn("__mcid_rid", F.xxhash64("doc_id", "text"))
     known = docs.where("doc_id is not null").select("doc_id", "text", F.col("__mcid_rid").alias("rid"))
     found = cut_lineage(removable(known, window).groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("__mcid_pos")))
-    release(docs.sparkSession)
+    release(docs.sparkSession, shuffles=True)
     found = found.select(F.col("doc_id").alias("__mcid_doc"), F.col("rid").alias("__mcid_r"), "__mcid_pos")
     return docs.join(found, (F.col("__mcid_rid") == F.col("__mcid_r")) & (F.col("doc_id") == F.col("__mcid_doc")), "left").drop("__mcid_doc", "__mcid_r", "__mcid_rid")
 

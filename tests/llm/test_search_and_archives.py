@@ -74,7 +74,7 @@ def test_pruning_loses_nothing():
     rows = [{"seg": 0, "term": f"t{t}", "docs": packed(a), "tf": packed(b)} for t, (a, b) in lists.items()]
     rows.append({"seg": 0, "ids": packed(range(n), "<i8"), "lens": packed(lens)})
     shapes = {"seg": pa.int64(), "term": pa.string()} | dict.fromkeys(["docs", "tf", "ids", "lens"], pa.binary())
-    shard = search.Shard(pa.Table.from_pylist(rows, pa.schema(list(shapes.items()))), lens.mean())
+    shard = search.Shard(pa.Table.from_pylist(rows, pa.schema(list(shapes.items()))).to_batches(), lens.mean())
     for _ in range(60):
         asked = r.choice(len(shard.terms), r.integers(1, 40), replace=False)
         weight = r.uniform(0.05e6, 9e6, len(asked))

@@ -152,7 +152,11 @@ def keep_first(docs: DataFrame, radius: int = 3, n: int = 3) -> DataFrame:
     Rows that repeat an id count once (the smallest row stays); a row without an id cannot be
     named by a group and stays.
     """
-    found = near_duplicates(docs, radius, n)
+    return firsts(docs, near_duplicates(docs, radius, n))
+
+
+def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that ``keep_first`` keeps; ``found`` has doc_id and component_id."""
     kept = cut_lineage(found.where("doc_id = component_id").select("doc_id").distinct())
     return one_per_id(docs.where("doc_id is not null")).join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -195,7 +195,7 @@ class Encoder:
         for line in lines:
             out.append("\n")
             parts = line.split(" ")
-            if len(line.split()) != len(parts):  # other white space, or several together
+            if line.split() != parts:  # other white space, or several together
                 parts = self.cuts.split(line)
             out.append(parts[0])
             out += [" " + p for p in parts[1:]]

@@ -34,6 +34,15 @@ def test_odd_texts(ranks, known):
         assert e.decode(ids) == t.encode()
 
 
+def test_spaces_that_cancel_out_in_number(ranks, known):
+    e = bpe.Encoder(ranks, PATTERN)
+    texts = ["Price: \u00a0 \u00a0 10 EUR\n\nOffer\n\nEnd", "def f():\n    if x:\n        return 1\n\treturn\u00a02"]
+    assert len(texts[0].split()) == len(texts[0].split(" "))
+    for t, ids in zip(texts, e.encode_batch(texts)):
+        assert ids == known.encode_ordinary(t), repr(t)
+        assert e.decode(ids) == t.encode()
+
+
 def test_array_merges_equal_the_tree(ranks):
     r = random.Random(6)
     pieces = [bytes(r.choice(b"abcde etaoin\xc3\xa9") for _ in range(r.randrange(2, 129))) for _ in range(500)]

@@ -44,7 +44,7 @@ FAMILIES = [
     ("lgpl", " lgpl", f"(?:gnu )?lgpl(?: {V}[23](?: [01])?)?"),
     ("agpl-3", "affero", f"(?:gnu )?affero general public {L} {V}3(?: 0)?"),
     ("agpl-3", " agpl", f"(?:gnu )?agpl {V}3(?: 0)?|agplv3"),
-    ("bsd-2", " bsd", f"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: {L})?"),
+    ("bsd-2", " bsd", f"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: {L})?"),
     ("bsd-3", " bsd", f"(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: {L})?"),
     ("bsd-4", " bsd", f"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: {L})?"),
     ("bsd-0", " 0bsd", "0bsd"),
@@ -84,6 +84,74 @@ FAMILIES = [
     ("cc-by", "creative commons", "creative commons attribution(?: [1-4] [05])?"),
     ("public-domain", "public domain", "public domain"),
     ("proprietary", "rights reserved", "all rights reserved"),
+    ("bsd-2", " freebsd", f"freebsd {L}"),
+    ("gpl-1", " gpl", f"(?:gnu )?gpl {V}1(?: 0)?|gplv1"),
+    ("lgpl", " lgplv", "lgplv[23](?: [01])?"),
+    *[(f"gpl-{k}", "general public", f"gnu general public {L} as published by the free software foundation (?:either )?{V}{k}(?: 0)?") for k in "123"],
+    *[(f"gpl-{k}", "general public", f"{V}{k}(?: 0)? (?:or (?:any )?later )?of the gnu general public {L}") for k in "123"],
+    ("lgpl-2.1", "lesser general", f"gnu lesser general public {L} as published by the free software foundation (?:either )?{V}2 1"),
+    ("lgpl-3", "lesser general", f"gnu lesser general public {L} as published by the free software foundation (?:either )?{V}3(?: 0)?"),
+    ("lgpl-2", "library general", f"gnu library general public {L} as published by the free software foundation (?:either )?{V}2(?: 0)?"),
+    ("agpl-3", "affero", f"gnu affero general public {L} as published by the free software foundation (?:either )?{V}3(?: 0)?"),
+    ("mpl-2", "mozilla public", f"mozilla public {L} v 2 0"),
+    ("epl-1", "eclipse public", f"eclipse public {L} v 1 0"),
+    ("epl-2", "eclipse public", f"eclipse public {L} v 2 0"),
+]
+
+#: Short ids: too common as words to count without one of the frames before them.
+SHORT = [
+    ("mit", " mit ", "mit"),
+    ("isc", " isc ", "isc"),
+    ("zlib", " zlib ", "zlib"),
+    ("apache-1", " apache 1 0", "apache 1 0"),
+    ("mpl-1.1", " mpl", f"mpl {V}1 1"),
+    ("epl-1", " epl", f"epl {V}1(?: 0)?"),
+    ("epl-2", " epl", f"epl {V}2(?: 0)?"),
+    ("eupl-1.1", " eupl", f"eupl {V}1 1"),
+    ("eupl-1.2", " eupl", f"eupl {V}1 2"),
+    ("cddl-1", " cddl", f"cddl(?: {V}1(?: [01])?)?"),
+    ("cpl-1", " cpl", f"cpl {V}1(?: 0)?"),
+    ("artistic-1", " artistic", f"artistic {V}1(?: 0)?"),
+    ("artistic-2", " artistic", f"artistic {V}2(?: 0)?"),
+    ("bsl-1", " bsl", f"bsl {V}1 0"),
+    ("bsl-1.1", " busl", f"busl {V}1 1"),
+    ("ofl-1.1", " ofl", f"ofl(?: {V}1 1)?"),
+    ("odbl-1", " odbl", f"odbl(?: {V}1 0)?"),
+    ("python-2", " psf", f"psf {V}2(?: 0)?"),
+    ("python-2", " python 2 0", "python 2 0"),
+    ("ms-pl", " ms pl", "ms pl"),
+    ("sspl-1", " sspl", f"sspl {V}1(?: 0)?"),
+    ("elastic-2", " elastic", f"elastic {V}2(?: 0)?"),
+]
+
+#: Names without a version: low priority, so that any rule that knows the version covers them.
+OPEN = [
+    ("gpl", "general public", f"gnu general public {L}"),
+    ("gpl", " gpl ", "(?:gnu )?gpl"),
+    ("lgpl", "general public", f"(?:gnu )?(?:lesser|library) general public {L}"),
+    ("agpl", "affero", f"(?:gnu )?affero general public {L}"),
+    ("agpl", " agpl ", "(?:gnu )?agpl"),
+    ("bsd", " bsd ", f"bsd {L}"),
+    ("apache", " apache", f"apache(?: software)? {L}"),
+    ("mpl", "mozilla public", f"mozilla public {L}"),
+    ("epl", "eclipse public", f"eclipse public {L}"),
+    ("eupl", "european union public", f"european union public {L}"),
+    ("cpl", "common public", f"common public {L}"),
+    ("artistic", " artistic", f"artistic {L}"),
+]
+
+#: Sentences of the license texts themselves: priority, label, keyword, words.
+TEXTS = [
+    (1, "mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    (1, "bsl-1", "permission is hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    (1, "isc", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided"),
+    (1, "bsd-0", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    (3, "bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (1, "bsd-3", "neither the name", "neither the names? of(?: [^ ]+){1,40}? may be used to endorse or promote products"),
+    (1, "bsd-4", "all advertising materials", "all advertising materials mentioning features or use of this software"),
+    (1, "zlib", "express or implied warranty", "without any express or implied warranty in no event will the authors? be held liable"),
+    (1, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (1, "wtfpl", "you want to public", f"do what the fuck you want to public {L}"),
 ]
 
 #: Words before the name, priority (1 is best), score.
@@ -99,13 +167,15 @@ FRAMES = [
 
 def rule_table() -> list[tuple[int, str, str, str, float]]:
     """Priority, label, keyword, pattern, score of every rule: each name in each frame, best frames first."""
-    return [(p, label, key, f" {frame}(?:{name})(?= )", score) for frame, p, score in FRAMES for label, key, name in FAMILIES]
+    named = [(p, label, key, f" {frame}(?:{name})(?= )", score) for frame, p, score in FRAMES for label, key, name in FAMILIES + (SHORT if frame else [])]
+    texts = [(p, label, key, f" {words}(?= )", 1.0) for p, label, key, words in TEXTS]
+    return named + texts + [(3, label, key, f" {frame}(?:{name})(?= )", 0.8 * score) for frame, _, score in FRAMES for label, key, name in OPEN]
 
 
 #: Any keyword of a rule or base phrase contains one of these, before lowering.
 STEMS = (
-    r"(?i)licen[cs]|copyright|rights|public|general|creative|affero|mozilla|apache|artistic|boost|elastic|zlib|wtfpl|expat|open"
-    r"|0bsd|(^|[^0-9A-Za-z\x80-\x{10FFFF}])(cc|cc0|mit|[al]?gpl\w*|bsd|isc|mpl)([^0-9A-Za-z\x80-\x{10FFFF}]|$)"
+    r"(?i)licen[cs]|copyright|rights|public|general|creative|affero|mozilla|apache|artistic|boost|elastic|zlib|wtfpl|expat|open|permission|redistribution|neither the name|advertising materials|express or implied|unencumbered"
+    r"|0bsd|(^|[^0-9A-Za-z\x80-\x{10FFFF}])(cc|cc0|mit|[al]?gpl\w*|bsd|freebsd|isc|mpl|epl|eupl|cddl|cpl|bsl|busl|ofl|odbl|psf|python|ms|sspl)([^0-9A-Za-z\x80-\x{10FFFF}]|$)"
 )
 
 
@@ -162,11 +232,12 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(spaces(F.get(b, F.lit(0))))
         lasts.append(F.col("n_words") - (spaces(F.element_at(b, -1)) - 1) - len(phrase.split()))
         labels.append(F.when(b.isNotNull(), F.lit(label)))
-    table = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(i).alias("r"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(rx).alias("re"), F.lit(score).alias("score"))
-        for i, (p, label, key, rx, score) in enumerate(rule_table())
-    ])
-    near = F.filter(table, lambda r: F.contains(F.col("line"), r["key"]))
+    groups: dict[str, list[Column]] = {}
+    for i, (p, label, key, rx, score) in enumerate(rule_table()):
+        groups.setdefault(key, []).append(F.struct(F.lit(p).alias("p"), F.lit(i).alias("r"), F.lit(label).alias("label"), F.lit(rx).alias("re"), F.lit(score).alias("score")))
+    # each keyword is looked for once, however many rules it has
+    table = F.array(*[F.struct(F.lit(key).alias("key"), F.array(*rules).alias("rules")) for key, rules in groups.items()])
+    near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("line"), g["key"])), lambda g: g["rules"]))
     df = df.select(
         "doc_id",
         "n_words",

@@ -108,3 +108,57 @@ def test_labels_and_suppression(spark, empty):
 def test_rules_are_many_and_gated():
     table = licenses.rule_table()
     assert len(table) > 300 and all(re.compile(r[3]) for r in table)
+
+
+NOTICES = [
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: EPL-2.0", "epl-2"),
+    ("SPDX-License-Identifier: BSL-1.0", "bsl-1"),
+    ("This file is licensed under MIT.", "mit"),
+    ("released under the BSD license", "bsd"),
+    ("It comes under the GPL", "gpl"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("The FreeBSD License applies", "bsd-2"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("We met at MIT, and FreeBSD ran there. Permission was asked.", ""),
+]
+
+
+def test_usual_notices(spark):
+    got = rows_of(licenses.scan(frame(spark, [(i, t, "en", "s", 0) for i, (t, _) in enumerate(NOTICES)])), "doc_id", "labels")
+    assert got == [(i, want) for i, (_, want) in enumerate(NOTICES)]
+
+
+def examples(tree):
+    """A shortest and a longest text of a parsed pattern, once for each branch."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
+        elif name == "IN":
+            more = ["x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, sub = arg
+            more = [x * k for k in sorted({least, min(int(most), 2)} if least else {0, 1}) for x in examples(sub)]
+        elif name == "SUBPATTERN":
+            more = examples(arg[3])
+        elif name == "BRANCH":
+            more = [x for sub in arg[1] for x in examples(sub)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_can_be_reached():
+    stems = re.compile(licenses.STEMS.replace("\\x{10FFFF}", "\U0010ffff"))
+    for _, label, key, pattern, _ in licenses.rule_table():
+        for line in {x + " " for x in examples(re._parser.parse(pattern))}:
+            assert re.search(pattern, line) and key in line and stems.search(line.strip()), (label, key, line)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, oracles, packing, quality, search, simhash, substrings, tokencounts, warc
+from . import bpe, chat, exact, fim, licenses, oracles, packing, phrases, quality, search, simhash, substrings, tokencounts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,4 +82,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.judged(table(spark, sf_dir, "documents")).drop("fingerprint")
+
+
+@query
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES |= {"op1_search": oracles.SEARCH, "op3_warc": oracles.WARC, "op4_chat": oracles.CHAT, "op5_quality": oracles.QUALITY, "op8_substrings": oracles.SUBSTRINGS}
+ORACLES |= {"op11_exact": oracles.EXACT, "op12_fim": oracles.FIM, "op13_phrases": oracles.PHRASES}

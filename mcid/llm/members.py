@@ -8,6 +8,7 @@ must then do more work, never other work.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,16 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def packed(bits: np.ndarray) -> bytes:
+    """For the broadcast: a bitmap that is mostly empty takes little room on the executors' disks."""
+    return pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
+
+
+@lru_cache(maxsize=2)
+def unpacked(data: bytes, words: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, words * 8, codec="zstd", asbytes=True), np.uint64)
+
+
 def bitmap(hashes: DataFrame, log_bits: int = LOG_BITS) -> np.ndarray:
     """The bitmap of ``hashes``: h (long). Bits meet in the tasks, then by word; the driver gets each word once."""
     words = 1 << (log_bits - 6)

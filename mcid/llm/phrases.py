@@ -30,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .common import map_arrow, release, texts
-from .members import bitmap, holds
+from .members import bitmap, holds, packed, unpacked
 
 #: Ends of pieces, and what each byte becomes: a byte that UTF-8 never has, a space, a letter in lower case.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -105,19 +105,32 @@ def phrases(words: Words, new: np.ndarray | None, old: np.ndarray | None, longes
         at[both] = np.where(holds(new, hashes)[codes], codes, -1)
 
 
-def count(docs: DataFrame, new: np.ndarray | None, old: np.ndarray | None, longest: int) -> DataFrame:
+class Proposal:
+    """A bitmap, or none, on its way to the tasks."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray | None) -> None:
+        self.words = 0 if bits is None else len(bits)
+        self.sent = spark.sparkContext.broadcast(b"" if bits is None else packed(bits))
+
+    def bits(self) -> np.ndarray | None:
+        return unpacked(self.sent.value, self.words) if self.words else None
+
+    def drop(self) -> None:
+        """Take it off the executors, once the tables made with it are written."""
+        self.sent.destroy(blocking=True)
+
+
+def count(docs: DataFrame, new: Proposal, old: Proposal, longest: int) -> DataFrame:
     """Exact counts of what one pass counts. With no ``old``, a row of size 0 holds the number of words of each language."""
-    share = docs.sparkSession.sparkContext.broadcast
-    now, before = share(new), share(old)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist(), object)
-        bodies = texts(batch, "text")
+        bodies, now, before = texts(batch, "text"), new.bits(), old.bits()
         for lang in sorted(set(langs.tolist())):
             words = Words(lang, [bodies[k] for k in np.flatnonzero(langs == lang)])
-            if before.value is None:
+            if before is None:
                 yield rows(lang, 0, pa.array([b""]), np.zeros(1, np.uint64), np.array([len(words.ids)]))
-            for size, names, h, n in phrases(words, now.value, before.value, longest):
+            for size, names, h, n in phrases(words, now, before, longest):
                 yield rows(lang, size, names, h, n)
 
     def rows(lang: str, size: int, names: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -128,12 +141,12 @@ def count(docs: DataFrame, new: np.ndarray | None, old: np.ndarray | None, longe
     return found.groupBy("lang", "phrase", "size", "h").agg(F.sum("n").alias("n"))
 
 
-def outside(found: DataFrame, proposal: np.ndarray | None, longest: int) -> DataFrame:
+def outside(found: DataFrame, proposal: Proposal, longest: int) -> DataFrame:
     """The phrases of ``found`` that a proposal does not hold, if a longer one can start from them."""
-    share = found.sparkSession.sparkContext.broadcast(proposal)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch if share.value is None else batch.filter(pa.array(~holds(share.value, batch.column(0).to_numpy().view(np.uint64))))
+        bits = proposal.bits()
+        yield batch if bits is None else batch.filter(pa.array(~holds(bits, batch.column(0).to_numpy().view(np.uint64))))
 
     return map_arrow(found.where(F.col("size").between(1, longest - 1)).select("h"), run, "h long")
 
@@ -143,10 +156,13 @@ def mine(docs: DataFrame, least: float, longest: int, proposal: np.ndarray | Non
     passes: list[DataFrame] = []
     old: np.ndarray | None = None
     while True:
-        frequent = cut_lineage(count(docs, proposal, old, longest).where((F.col("size") == 0) | (F.col("n") >= least)))
+        now, before = (Proposal(docs.sparkSession, bits) for bits in (proposal, old))
+        frequent = cut_lineage(count(docs, now, before, longest).where((F.col("size") == 0) | (F.col("n") >= least)))
         passes.append(frequent)
-        failed = outside(frequent, proposal, longest)
-        if failed.isEmpty():
+        closed = outside(frequent, now, longest).isEmpty()
+        now.drop()
+        before.drop()
+        if closed:
             return passes, proposal
         more = bitmap(frequent.where(F.col("size").between(1, longest - 1)))
         # nothing was counted beyond words before there was a proposal

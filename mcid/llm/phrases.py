@@ -54,11 +54,11 @@ class Words:
         data = cut.join(bodies).translate(TABLE).replace(cut, b" " + cut + b" ")
         offsets = pa.py_buffer(np.array([0, len(data)], np.int32).tobytes())
         whole = pa.Array.from_buffers(pa.string(), 1, [None, offsets, pa.py_buffer(data)])
-        parts = pc.split_pattern(whole, " ").values
-        parts = parts.filter(pc.greater(pc.binary_length(parts), 0)).cast(pa.binary())
-        coded = parts.dictionary_encode()
-        ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        ends = ids == pc.index(names, pa.scalar(cut, pa.binary())).as_py()
+        coded = pc.split_pattern(whole, " ").values.dictionary_encode()
+        ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
+        nothing, end = (pc.index(names, pa.scalar(w, pa.binary())).as_py() for w in (b"", cut))
+        ids = ids[ids != nothing]
+        ends = ids == end
         self.piece = np.cumsum(ends)[~ends]
         self.ids = ids[~ends]
         self.names = names

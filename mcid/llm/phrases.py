@@ -4,11 +4,12 @@ Phrases of 1 to ``longest`` words that occur ``least`` times or more are wanted
 
 * A sample of the documents is mined first, level by level, at a lowered bound. Its phrases are the proposal.
 * A full pass counts every phrase whose two parts - all but the last, all but the first word - are proposed: the
-  proposal and its negative border, which is never written out. Words are always counted.
-* A frequent phrase that was not proposed is a border failure: longer ones that start from it may have been
-  missed. Then all phrases known to be frequent are added to the proposal, and another pass counts what only now
-  has both parts in it. When no frequent phrase is outside the proposal, none is missing: the parts of a
-  frequent phrase are frequent, so proposed, so it was counted.
+  proposal and its negative border, which is never written out. Words are always counted. The border is large and
+  nearly all of it rare, so it is shuffled as digests: a digest's total bounds the counts of its phrases from above.
+* A phrase outside the proposal that is, or by its digest may be, frequent is a border failure: longer ones that
+  start from it may have been missed. Then all such phrases are added to the proposal, and another pass counts what
+  only now has both parts in it, and the phrases of the frequent digests by their words. When no frequent phrase is
+  outside the proposal, none is missing: the parts of a frequent phrase are frequent, so proposed, so it was counted.
 
 The proposal travels as a bitmap of fixed size (:mod:`members`). It may hold a phrase by mistake, which makes a
 pass count more, never less and never wrongly; so the broadcast is bounded whatever the number of phrases.
@@ -43,7 +44,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 CUT = 0xFF
 TABLE = bytes(CUT if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-COUNTS = "lang string, phrase string, size int, h long, n long"
+COUNTS = "lang string, phrase string, h long, n long"
 
 
 class Words:
@@ -66,8 +67,11 @@ class Words:
         self.hashes = np.fromiter((xxh64_intdigest(start + w) for w in names.to_pylist()), np.uint64, len(names))
 
 
-def phrases(words: Words, new: np.ndarray | None, old: np.ndarray | None, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Size, names, hashes and counts of what a pass with the proposal ``new`` counts and one with ``old`` did not.
+def phrases(
+    words: Words, new: np.ndarray | None, old: np.ndarray | None, asked: np.ndarray | None, longest: int, digests: bool
+) -> Iterator[tuple[pa.Array | None, np.ndarray, np.ndarray]]:
+    """Names (None: of the border, by digest only), hashes and counts of what a pass with the proposal ``new`` counts and one
+    with ``old`` did not, and of the phrases in ``asked``, of which that one only counted digests.
 
     Proposals are bitmaps; None stands for none, with which nothing longer than a word is counted.
     """
@@ -77,7 +81,7 @@ def phrases(words: Words, new: np.ndarray | None, old: np.ndarray | None, longes
     if old is None:
         counts = np.bincount(words.ids, minlength=n)
         some = np.flatnonzero(counts)
-        yield 1, names.take(pa.array(some)), hashes[some], counts[some]
+        yield names.take(pa.array(some)), hashes[some], counts[some]
     # per position, the phrase that starts there; -1 where it is not proposed
     proposed = nothing if new is None else holds(new, hashes)
     at = np.where(proposed[words.ids], words.ids, -1) if n else words.ids
@@ -96,13 +100,25 @@ def phrases(words: Words, new: np.ndarray | None, old: np.ndarray | None, longes
         head, tail = keys >> 32, keys & 0xFFFFFFFF
         fresh = ~(was[head] & was[at[first + 1]])
         counts = np.bincount(codes, minlength=len(keys))
-        names = pc.binary_join_element_wise(names.take(pa.array(head)), words.names.take(pa.array(tail)), pa.scalar(b" ", pa.binary()))
         hashes = hashes[head] * FACTOR + words.hashes[tail]
-        some = np.flatnonzero(fresh)
-        yield size, names.take(pa.array(some)), hashes[some], counts[some]
+        proposed = holds(new, hashes)
         was = np.zeros(len(keys), bool) if old is None else holds(old, hashes)
+        if asked is not None:
+            fresh |= holds(asked, hashes) & ~was
+        named = np.flatnonzero(fresh & proposed if digests else fresh)
+        # only phrases that are given by name, or that longer ones start from, need one
+        shown = np.flatnonzero(proposed | fresh & (not digests))
+        spelled = pc.binary_join_element_wise(names.take(pa.array(head[shown])), words.names.take(pa.array(tail[shown])), pa.scalar(b" ", pa.binary()))
+        place = np.full(len(keys), -1, np.int64)
+        place[shown] = np.arange(len(shown))
+        yield spelled.take(pa.array(place[named])), hashes[named], counts[named]
+        if digests:
+            rest = np.flatnonzero(fresh & ~proposed)
+            yield None, hashes[rest], counts[rest]
+        # longer phrases start from proposed ones alone, so codes are places among the spelled
+        names, hashes, was = spelled, hashes[shown], was[shown]
         at = np.full(len(at) - 1, -1, np.int64)
-        at[both] = np.where(holds(new, hashes)[codes], codes, -1)
+        at[both] = np.where(proposed[codes], place[codes], -1)
 
 
 class Proposal:
@@ -120,25 +136,32 @@ class Proposal:
         self.sent.destroy(blocking=True)
 
 
-def count(docs: DataFrame, new: Proposal, old: Proposal, longest: int) -> DataFrame:
-    """Exact counts of what one pass counts. With no ``old``, a row of size 0 holds the number of words of each language."""
+def count(docs: DataFrame, new: Proposal, old: Proposal, asked: Proposal, longest: int, digests: bool = False) -> DataFrame:
+    """Counts of what one pass counts: exact for phrases; with ``digests``, the border has no phrase and counts of digests.
+
+    With no ``old``, an empty phrase holds the number of words of each language.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist(), object)
-        bodies, now, before = texts(batch, "text"), new.bits(), old.bits()
+        bodies, now, before, some = texts(batch, "text"), new.bits(), old.bits(), asked.bits()
         for lang in sorted(set(langs.tolist())):
             words = Words(lang, [bodies[k] for k in np.flatnonzero(langs == lang)])
             if before is None:
-                yield rows(lang, 0, pa.array([b""]), np.zeros(1, np.uint64), np.array([len(words.ids)]))
-            for size, names, h, n in phrases(words, now, before, longest):
-                yield rows(lang, size, names, h, n)
-
-    def rows(lang: str, size: int, names: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        fixed = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), names.cast(pa.string()), pa.array(np.full(len(n), size, np.int32))]
+                yield rows(lang, pa.array([b""]), np.zeros(1, np.uint64), np.array([len(words.ids)]))
+            for names, h, n in phrases(words, now, before, some, longest, digests):
+                yield rows(lang, names, h, n)
+
+    def rows(lang: str, names: pa.Array | None, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        if names is None:
+            fixed = [pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string())]
+        else:
+            fixed = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), names.cast(pa.string())]
         return pa.record_batch([*fixed, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=[f.split()[0] for f in COUNTS.split(", ")])
 
     found = map_arrow(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), run, COUNTS, most=8 << 20)
-    return found.groupBy("lang", "phrase", "size", "h").agg(F.sum("n").alias("n"))
+    size = F.when(F.col("phrase") == "", 0).otherwise(1 + F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))))
+    return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).withColumn("size", size)
 
 
 def outside(found: DataFrame, proposal: Proposal, longest: int) -> DataFrame:
@@ -153,18 +176,23 @@ def outside(found: DataFrame, proposal: Proposal, longest: int) -> DataFrame:
 
 def mine(docs: DataFrame, least: float, longest: int, proposal: np.ndarray | None = None) -> tuple[list[DataFrame], np.ndarray | None]:
     """All frequent phrases, one table per pass (lang, phrase, size, h, n), and the last proposal."""
+    spark = docs.sparkSession
     passes: list[DataFrame] = []
     old: np.ndarray | None = None
+    asked: np.ndarray | None = None
     while True:
-        now, before = (Proposal(docs.sparkSession, bits) for bits in (proposal, old))
-        frequent = cut_lineage(count(docs, now, before, longest).where((F.col("size") == 0) | (F.col("n") >= least)))
+        sent = now, before, some = [Proposal(spark, bits) for bits in (proposal, old, asked)]
+        digests = proposal is not None and old is None
+        counted = cut_lineage(count(docs, now, before, some, longest, digests).where((F.col("size") == 0) | (F.col("n") >= least)))
+        frequent, border = counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL")
         passes.append(frequent)
-        closed = outside(frequent, now, longest).isEmpty()
-        now.drop()
-        before.drop()
+        closed = border.isEmpty() and outside(frequent, now, longest).isEmpty()
+        for p in sent:
+            p.drop()
         if closed:
             return passes, proposal
-        more = bitmap(frequent.where(F.col("size").between(1, longest - 1)))
+        asked = bitmap(border) if digests else None
+        more = bitmap(frequent.where(F.col("size").between(1, longest - 1)).select("h").unionByName(border.select("h")))
         # nothing was counted beyond words before there was a proposal
         old = np.zeros_like(more) if proposal is None else proposal
         proposal = more | old

@@ -214,5 +214,8 @@ def test_a_full_bitmap_counts_all(spark):
     rows = chatter(5, 60)
     f, _ = counted(rows, 4)
     full = np.full(1 << 10, np.uint64(0xFFFFFFFFFFFFFFFF))
-    got = phrases.count(frame(spark, rows).select("lang", "text"), phrases.Proposal(spark, full), phrases.Proposal(spark, None), 4).where("size > 0")
-    assert {(r.lang, r.phrase): r.n for r in got.collect()} == {(lang, p): a for lang, c in f.items() for p, a in c.items()}
+    got = phrases.count(frame(spark, rows).select("lang", "text"), *(phrases.Proposal(spark, b) for b in (full, None, None)), 4).where("size > 0")
+    want = {(lang, p): a for lang, c in f.items() for p, a in c.items()}
+    assert {(r.lang, r.phrase): r.n for r in got.collect()} == want
+    by_digest = phrases.count(frame(spark, rows).select("lang", "text"), *(phrases.Proposal(spark, b) for b in (full, None, None)), 4, digests=True)
+    assert {(r.lang, r.phrase): r.n for r in by_digest.where("size > 0").collect()} == want  # all are proposed

@@ -1,7 +1,7 @@
 """A set of 64-bit hashes as a bitmap of fixed size: members are always found, others are found by mistake at times.
 
 The size is a parameter, so what is collected and broadcast has a bound that does not depend on the input:
-``1 << log_bits`` bits, 16 MB by default. A bitmap that holds too many members finds everything; who uses it
+``1 << log_bits`` bits, 8 MB by default. A bitmap that holds too many members finds everything; who uses it
 must then do more work, never other work.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-LOG_BITS = 27
+LOG_BITS = 26
 #: Odd factors; each gives one position per hash.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -43,7 +43,7 @@ def packed(bits: np.ndarray) -> bytes:
     return pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=3)
 def unpacked(data: bytes, words: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, words * 8, codec="zstd", asbytes=True), np.uint64)
 

@@ -151,6 +151,7 @@ def count(docs: DataFrame, new: Proposal, old: Proposal, asked: Proposal, longes
                 yield rows(lang, pa.array([b""]), np.zeros(1, np.uint64), np.array([len(words.ids)]))
             for names, h, n in phrases(words, now, before, some, longest, digests):
                 yield rows(lang, names, h, n)
+        pa.default_memory_pool().release_unused()
 
     def rows(lang: str, names: pa.Array | None, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         if names is None:
@@ -159,7 +160,7 @@ def count(docs: DataFrame, new: Proposal, old: Proposal, asked: Proposal, longes
             fixed = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), names.cast(pa.string())]
         return pa.record_batch([*fixed, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=[f.split()[0] for f in COUNTS.split(", ")])
 
-    found = map_arrow(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), run, COUNTS, most=4 << 20)
+    found = map_arrow(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), run, COUNTS, most=2 << 20)
     size = F.when(F.col("phrase") == "", 0).otherwise(1 + F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))))
     return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).withColumn("size", size)
 

@@ -44,7 +44,7 @@ register_view(
 def hits(v: Views) -> DataFrame:
     found = candidates.search(
         v.points.select("tracklet_id", "camera_id", "ts", "vector"),
-        v.points.select("tracklet_id", "camera_id", "ts", "vector"),
+        None,
         candidates.search_windows(v.cameras, v.links),
         0.5999995,
     )
@@ -269,13 +269,65 @@ def canonical_ids(v: Views) -> DataFrame:
     return identity.canonical_ids(merges)
 
 
-@query("resolve_identities")
+#: Verdicts of all tracklets, if those with ``flag`` in the table %s carry an identity.
+VERDICTS = """
+    (SELECT *, CASE WHEN top1 IS NULL OR top1.link = FALSE THEN 'new' WHEN (top1.cos >= 0.95 OR final >= auto) AND m > 0.05 THEN 'match'
+            WHEN final >= 0.72 AND m > 0.05 THEN 'candidate' WHEN final >= 0.72 THEN 'ambiguous' ELSE 'new' END AS decision
+     FROM (SELECT *, CASE WHEN stage LIKE 'stage3%%' THEN 0.92 ELSE 0.82 END AS auto, CASE WHEN top2 IS NULL THEN 1 ELSE top1.cos - top2.cos END AS m,
+             least(1, greatest(0, coalesce(top1.cos, 0) * 0.55::DOUBLE + temporal * 0.2::DOUBLE + topo * 0.15::DOUBLE + q * 0.05::DOUBLE + 0.5 * 0.05::DOUBLE)) AS final
+       FROM (SELECT *, CASE WHEN top1.link IS NULL THEN 0.5 WHEN top1.link THEN 1 ELSE 0 END::DOUBLE AS topo,
+               CASE WHEN top1 IS NULL THEN 1 ELSE exp(-((ts - top1.ts) * (ts - top1.ts))::DOUBLE / 7200) END AS temporal
+         FROM trk LEFT JOIN (SELECT k, min(hit) AS top1 FROM pair JOIN (SELECT k AS pk FROM %s WHERE flag) ON pk = hit.k GROUP BY k) USING (k)
+         LEFT JOIN (
+           SELECT k, min(hit) AS top2 FROM pair JOIN (SELECT k AS pk FROM %s WHERE flag) ON pk = hit.k
+           JOIN (SELECT k, min(hit) AS best FROM pair JOIN (SELECT k AS pk FROM %s WHERE flag) ON pk = hit.k GROUP BY k) USING (k)
+           WHERE hit.k <> best.k AND (hit.cam <> best.cam OR hit.neg = best.neg) GROUP BY k) USING (k))))"""
+
+#: Three digits, halves of the shown number up.
+HALF_UP = "round((%s)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE"
+
+RESOLVE_SQL = f"""
+    WITH RECURSIVE num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, tracklet_id) AS k FROM points),
+    pair AS MATERIALIZED (
+      SELECT k, {{'neg': -round(c, 6), 'id': pid, 'cam': pcam, 'ts': pts, 'cos': c, 'k': pk, 'link': enabled}} AS hit FROM (
+        SELECT q.k, p.k AS pk, p.tracklet_id AS pid, p.camera_id AS pcam, p.ts AS pts, q.camera_id, list_dot_product(q.vector, p.vector) AS c
+        FROM num q JOIN win w ON q.camera_id = w.camera_id JOIN num p ON p.camera_id = w.cand_camera_id
+        WHERE p.ts BETWEEN q.ts - w.back_max AND q.ts - w.back_min AND p.k < q.k)
+      LEFT JOIN links ON from_camera_id = pcam AND to_camera_id = camera_id),
+    trk AS (
+      SELECT k, tracklet_id, camera_id, ts, zone_id, CASE WHEN quality_score IS NULL THEN 0.5 ELSE least(1, greatest(0, quality_score)) END AS q,
+             CASE WHEN coalesce(n, 0) = 0 THEN 'stage3_24h_fallback' ELSE 'stage2_3_combined' END AS stage
+      FROM num LEFT JOIN (SELECT from_camera_id AS camera_id, count(*) AS n FROM links WHERE enabled GROUP BY 1) USING (camera_id)),
+    walk AS (
+      SELECT 0 AS round, k, TRUE AS flag FROM num
+      UNION ALL
+      SELECT round + 1, k, fresh FROM (
+        SELECT round, k, fresh, bool_or(fresh <> flag) OVER () AS moved
+        FROM walk JOIN (SELECT k, decision IN ('match', 'new') AS fresh FROM {VERDICTS % (("walk",) * 3)}) USING (k)) WHERE moved),
+    settled AS (SELECT k, flag FROM walk WHERE round = (SELECT max(round) FROM walk)),
+    done AS MATERIALIZED (SELECT * FROM {VERDICTS % (("settled",) * 3)}),
+    chain AS (
+      SELECT k, k AS origin FROM done WHERE decision IN ('match', 'new')
+      UNION ALL
+      SELECT chain.k, done.top1.k FROM chain JOIN done ON done.k = origin WHERE decision = 'match'),
+    named AS (
+      SELECT chain.k, 'GID-' || upper(substr(sha256(tracklet_id), 1, 8)) || '-' || string_split(camera_id, '_')[-1] AS gid
+      FROM chain JOIN done ON done.k = origin WHERE decision = 'new')
+    SELECT tracklet_id, camera_id AS source_camera_id, decision AS decision_type, own.gid AS assigned_global_id, top1.cam AS candidate_camera_id,
+           a.gid AS top1_global_id, top1.cam AS top1_camera_id, round(top1.cos, 6) AS top1_score,
+           b.gid AS top2_global_id, top2.cam AS top2_camera_id, round(top2.cos, 6) AS top2_score,
+           round(coalesce(top1.cos, 0), 6) AS reid_similarity, topo AS camera_topology_score, round(temporal, 6) AS temporal_score, q AS quality_score,
+           0.5::DOUBLE AS zone_score, round(final, 6) AS final_score,
+           CASE WHEN decision IN ('match', 'new') THEN 'firm' WHEN decision = 'ambiguous' THEN 'ambiguous' ELSE 'held' END AS confidence_state,
+           stage, printf('stage=%s decision=%s reid=%.3f topo=%.2f temporal=%.3f quality=%.3f zone=%.3f final=%.3f', stage, decision,
+             {HALF_UP % "coalesce(top1.cos, 0)"}, topo, {HALF_UP % "temporal"}, {HALF_UP % "q"}, 0.5, {HALF_UP % "final"}) AS reason, ts AS created_at, zone_id
+    FROM done LEFT JOIN named own USING (k) LEFT JOIN named a ON a.k = top1.k LEFT JOIN named b ON b.k = top2.k"""
+
+
+@query("resolve_identities", "points win", RESOLVE_SQL)
 def resolve_identities(v: Views) -> DataFrame:
     out = resolve(v.points.drop("event_id", "truth_id"), v.cameras, v.links)
-    return out.withColumns({c: F.round(c, 6) for c in ("top1_score", "top2_score", "final_score")}).select(
-        "tracklet_id", "source_camera_id", "decision_type", "assigned_global_id", "top1_global_id", "top1_score",
-        "top2_global_id", "top2_score", "final_score", "confidence_state", "stage", "reason",
-    )
+    return out.withColumns({c: F.round(c, 6) for c in ("top1_score", "top2_score", "reid_similarity", "temporal_score", "final_score")})
 
 
 # ---- read queries ---------------------------------------------------------------------

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage, delete_cuts
+from . import cells
+from .rows import compute_once
 
 DAY_SECONDS = 86_400
 
@@ -88,25 +93,77 @@ def search_windows(cameras: DataFrame, links: DataFrame, window_seconds: int = D
 
 
 # ---- vector search ------------------------------------------------------------
-def _blocks(df: DataFrame, keys: list[str], width: int, limit: int) -> DataFrame:
-    """Time blocks with the number of sub-blocks that keeps each below ``limit``."""
+#: Vectors that pivots are picked from, and the most pivots of one vector length.
+SAMPLE, PIVOTS = 1024, 64
+CELL = ["_place", "_dim"]
+
+
+def _sizes(df: DataFrame, keys: list[str], width: int, limit: int) -> DataFrame:
+    """Time blocks with the number of balls that their size asks for."""
     return (
         df.groupBy(*keys, F.floor(F.col("ts") / width).alias("block"))
         .agg(F.count("*").alias("n"))
-        .select(*keys, "block", F.ceil(F.col("n") / limit).cast("int").alias("subs"))
+        .select(*keys, "block", "n", F.least(F.ceil(F.col("n") / limit), F.lit(PIVOTS)).cast("int").alias("balls"))
     )
 
 
-def _with_sub(df: DataFrame, blocks: DataFrame, keys: list[str], width: int) -> DataFrame:
-    at = df.withColumn("block", F.floor(F.col("ts") / width))
-    return at.join(blocks, [*keys, "block"]).withColumn(
-        "sub", F.pmod(F.xxhash64("tracklet_id"), F.col("subs").cast("bigint")).cast("int")
+def _pivots(df: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Up to ``PIVOTS`` spread vectors of each length, from at most ``SAMPLE`` rows that a digest of their ids picks."""
+    share = min(1.0, 2 * SAMPLE / max(rows, 1))
+    some = df.where(F.pmod(F.xxhash64("tracklet_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vector").limit(SAMPLE)
+    by_length: dict[int, list] = {}
+    for (v,) in some.collect():
+        if v and None not in v:
+            by_length.setdefault(len(v), []).append(v)
+    found = {n: np.array(vs) for n, vs in by_length.items()}
+    return {n: m[cells.spread_pivots(m, PIVOTS)] for n, m in found.items() if cells.unit(m)}
+
+
+def _table(df: DataFrame, match: Sequence[str], sizes: DataFrame, pivots: dict[int, np.ndarray], width: int) -> DataFrame:
+    """The vectors of ``df`` by block and ball, written once. A ball holds the vectors of a block that are nearest to one pivot.
+
+    Vectors meet those of their own length only; ones that are missing or hold gaps meet none.
+    """
+    keys = ["_place", *match]
+    once = compute_once(df.withColumn("block", F.floor(F.col("ts") / width)), "_v", F.col("vector"))
+    usable = once.where(F.coalesce(F.size("_v") > 0, F.lit(False)) & ~F.exists("_v", lambda x: x.isNull()))
+    rows = usable.select("tracklet_id", "camera_id", "ts", *keys, "block", F.size("_v").alias("_dim"), F.col("_v").alias("vector")).join(
+        sizes.select(*keys, "block", "balls"), [*keys, "block"]
+    )
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "balls"]).add("ball", T.IntegerType()).add("angle", T.DoubleType())
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, balls = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_dim", "balls"))
+            vectors = batch.column(batch.schema.get_field_index("vector"))
+            ball, angle = np.zeros(len(dim), np.int32), np.full(len(dim), np.pi)
+            for n, m in pivots.items():
+                for most in np.unique(balls[(dim == n) & (balls > 1)]):
+                    at = np.flatnonzero((dim == n) & (balls == most))
+                    own = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    far = cells.angles(own, m[:most])
+                    ball[at] = far.argmin(axis=1)
+                    # a vector that is not of length one lies outside all bounds
+                    fit = np.abs(np.einsum("ij,ij->i", own, own) - 1) < cells.EPS
+                    angle[at] = np.where(fit, far.min(axis=1), np.pi)
+            kept = batch.select([f.name for f in schema.fields[:-2]])
+            yield pa.record_batch([*kept.columns, pa.array(ball), pa.array(angle)], names=[f.name for f in schema.fields])
+
+    return cut_lineage(rows.mapInArrow(assign, schema))
+
+
+def _stats(table: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Balls with their radius and the number of parts that keeps each below ``limit``."""
+    return (
+        table.groupBy(*keys, "block", "ball")
+        .agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+        .select(*keys, "block", "ball", "radius", F.ceil(F.col("n") / limit).cast("int").alias("subs"))
     )
 
 
 def search(
     queries: DataFrame,
-    points: DataFrame,
+    points: DataFrame | None,
     windows: DataFrame,
     min_cosine: float,
     match: Sequence[str] = (),
@@ -114,132 +171,92 @@ def search(
     earlier_only: bool = True,
     block_seconds: int = 6 * 3600,
     cell_rows: int = 4096,
+    apart: bool = True,
 ) -> DataFrame:
     """Pairs of a tracklet and an earlier one that pass ``min_cosine``.
 
-    ``queries`` / ``points``: tracklet_id, camera_id, ts (seconds), unit
-    ``vector``, and any equality columns named in ``match``. A tracklet may have
-    several points; its best one counts. ``windows``: see :func:`search_windows`.
-
-    The work is cut into cells of at most about ``cell_rows`` x ``cell_rows``
-    rows: camera, time block, and as many hash sub-blocks as the block's own size
-    asks for, so a busy camera or hour becomes more cells, not a bigger one. A
-    cell multiplies two small matrices and emits only pairs that pass; with
-    ``top_k`` it emits at most that many per tracklet, which is exact because the
-    best overall are among the best of each cell. Tracklet vectors and points are
-    copied once per block in reach.
+    ``queries`` / ``points`` (None: the queries themselves): tracklet_id, camera_id,
+    ts (seconds), unit ``vector``, and any equality columns named in ``match``. A
+    tracklet may have several points; its best one counts. ``windows``: see
+    :func:`search_windows`; with ``apart`` off, cameras are searched as one and
+    ``windows`` has one row without cameras.
+
+    The work is cut into cells of at most about ``cell_rows`` x ``cell_rows`` rows.
+    A block (camera, span of time) that is larger is cut into balls around pivots,
+    as many as its size asks for, and a ball into parts by a hash of the ids.
+    Cells of balls that are too far apart for ``min_cosine`` are never made; within
+    a cell :func:`cells.best_pairs` leaves out groups by the same rule. With
+    ``top_k`` a cell gives at most that many per tracklet, which is exact because
+    the best overall are among the best of each cell. Each input is written once
+    with its cells' keys; vectors are copied once per cell in reach.
     """
-    # vectors meet those of their own length only; ones that are missing or hold gaps meet none
-    queries, points = (
-        d.where(F.coalesce(F.size("vector") > 0, F.lit(False)) & ~F.exists("vector", lambda x: x.isNull())).withColumn("_dim", F.size("vector"))
-        for d in (queries, points)
-    )
-    match = [*match, "_dim"]
-    qk, pk = ["camera_id", *match], ["cand_camera_id", *match]
-    width = block_seconds
-    pts = points.withColumnRenamed("camera_id", "cand_camera_id")
-    qb, pb = _blocks(queries, qk, width, cell_rows), _blocks(pts, pk, width, cell_rows)
+    width, keys = block_seconds, ["_place", *match]
+    place = F.col("camera_id") if apart else F.lit("")
+    names = ["tracklet_id", "camera_id", "ts", *match, "vector"]
+    inputs = [d.select(*names, place.alias("_place")) for d in (queries, points) if d is not None]
+    sizes = [cut_lineage(_sizes(d, keys, width, cell_rows)) for d in inputs]
+    most = [s.agg(F.max("balls"), F.sum("n")).first() for s in sizes]
+    pivots = _pivots(inputs[-1], most[-1][1] or 0) if max(m[0] or 0 for m in most) > 1 else {}
+    tables = [_table(d, match, s, pivots, width) for d, s in zip(inputs, sizes)]
+    delete_cuts(*sizes)
+    qt, pt = tables[0], tables[-1].withColumnRenamed("_place", "_cand_place")
+    qk, pk = [*CELL, *match], ["_cand_place", "_dim", *match]
+    spans = windows.withColumnsRenamed({"camera_id": "_place", "cand_camera_id": "_cand_place"}) if apart else windows.withColumns({"_place": F.lit(""), "_cand_place": F.lit("")})
     first = F.floor((F.col("block") * width - F.col("back_max")) / width)
     last = F.floor((F.col("block") * width + (width - 1) - F.col("back_min")) / width)
-    cells = (
-        qb.join(windows, "camera_id")
+    found = (
+        _stats(qt, qk, cell_rows)
+        .join(spans, "_place")
         .withColumn("cand_block", F.explode(F.sequence(first, last)))
-        .join(
-            pb.select(*pk, F.col("block").alias("cand_block"), F.col("subs").alias("cand_subs")),
-            [*pk, "cand_block"],
-        )
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .withColumn("cand_sub", F.explode(F.sequence(F.lit(0), F.col("cand_subs") - 1)))
-        .withColumn(
-            "cell", F.concat_ws("|", *qk, "block", "sub", "cand_camera_id", "cand_block", "cand_sub")
-        )
+        .join(_stats(pt, pk, cell_rows).withColumnsRenamed({c: f"cand_{c}" for c in ("block", "ball", "radius", "subs")}), [*pk, "cand_block"])
     )
-    q = (
-        _with_sub(queries, qb, qk, width)
-        .join(cells.select(*qk, "block", "sub", "cell", "back_max", "back_min", "cand_camera_id"), [*qk, "block", "sub"])
-        .select("cell", "tracklet_id", "camera_id", "ts", "vector", "back_max", "back_min", "cand_camera_id")
+    if pivots and min_cosine > -1:
+        apart_by = [(n, i, j, float(x)) for n, m in pivots.items() for i, row in enumerate(cells.angles(m, m)) for j, x in enumerate(row)]
+        gaps = queries.sparkSession.createDataFrame(apart_by, "_dim int, ball int, cand_ball int, gap double")
+        near = F.col("gap") - F.col("radius") - F.col("cand_radius") <= float(np.arccos(min(min_cosine, 1.0))) + cells.EPS
+        found = found.join(F.broadcast(gaps), ["_dim", "ball", "cand_ball"], "left").where(F.col("gap").isNull() | near)
+    pairs = (
+        found.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        .withColumn("cand_sub", F.explode(F.sequence(F.lit(0), F.col("cand_subs") - 1)))
+        .withColumn("cell", F.concat_ws("|", *qk, "block", "ball", "sub", "_cand_place", "cand_block", "cand_ball", "cand_sub", "back_max", "back_min"))
     )
-    p = (
-        _with_sub(pts, pb, pk, width)
-        .join(
-            cells.select(*pk, F.col("cand_block").alias("block"), F.col("cand_sub").alias("sub"), "cell"),
-            [*pk, "block", "sub"],
-        )
-        # fresh names: both sides may come from the same table
-        .select(
-            F.col("cell").alias("cand_cell"),
-            F.col("tracklet_id").alias("cand_tracklet_id"),
-            F.col("ts").alias("cand_ts"),
-            F.col("vector").alias("cand_vector"),
-        )
+
+    def part(subs: str) -> Column:
+        return F.pmod(F.xxhash64("tracklet_id"), F.col(subs).cast("bigint")).cast("int")
+
+    of_query = pairs.select(*qk, "block", "ball", "subs", "sub", "cell", "back_max", "back_min")
+    q = qt.join(of_query, [*qk, "block", "ball"]).where(part("subs") == F.col("sub")).select("cell", "tracklet_id", "camera_id", "ts", "vector", "back_max", "back_min")
+    of_point = pairs.select(*pk, F.col("cand_block").alias("block"), F.col("cand_ball").alias("ball"), "cand_subs", "cand_sub", "cell")
+    # fresh names: both sides may come from the same table
+    p = pt.join(of_point, [*pk, "block", "ball"]).where(part("cand_subs") == F.col("cand_sub")).select(
+        F.col("cell").alias("cand_cell"),
+        F.col("tracklet_id").alias("cand_tracklet_id"),
+        F.col("camera_id").alias("cand_camera_id"),
+        F.col("ts").alias("cand_ts"),
+        F.col("vector").alias("cand_vector"),
     )
     schema = (
         "tracklet_id string, camera_id string, ts bigint, cand_tracklet_id string, "
         "cand_camera_id string, cand_ts bigint, cosine double"
     )
 
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        flat = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(t.num_rows, -1)
+    def side(t: pa.Table, vector: str, ts: str, ids: np.ndarray) -> cells.Side:
+        flat = t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return cells.Side(flat.reshape(t.num_rows, -1), t.column(ts).to_numpy(), ids)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in schema.split(", ")]
-        found: list[list[np.ndarray]] = []
+        none = np.zeros(0, int)
+        pair = cells.Found(none, none, np.zeros(0), 0)
         if left.num_rows and right.num_rows:
-            a, b = matrix(left, "vector"), matrix(right, "cand_vector")
-            ta, tb = left.column("ts").to_numpy(), right.column("cand_ts").to_numpy()
-            ids, cand = left.column("tracklet_id").to_numpy(), right.column("cand_tracklet_id").to_numpy()
-            lo, hi = left.column("back_max")[0].as_py(), left.column("back_min")[0].as_py()
-            # in time order, each strip of rows needs only a slice of the others
-            qa, pb = np.argsort(ta, kind="stable"), np.argsort(tb, kind="stable")
-            a, ta, ids, b, tb, cand = a[qa], ta[qa], ids[qa], b[pb], tb[pb], cand[pb]
-            for s in range(0, len(a), 256):
-                strip = ta[s : s + 256]
-                from_, to = np.searchsorted(tb, strip[0] - lo), np.searchsorted(tb, strip[-1] - hi, side="right")
-                if from_ >= to:
-                    continue
-                cos = a[s : s + 256] @ b[from_:to].T
-                i, j = np.nonzero(cos >= min_cosine)
-                dt = strip[i] - tb[from_ + j]
-                keep = (dt <= lo) & (dt >= hi)
-                i, j, dt = i[keep], j[keep], dt[keep]
-                c = cos[i, j]
-                j = j + from_
-                keep = ids[s + i] != cand[j]
-                if earlier_only:
-                    keep &= (dt > 0) | ((dt == 0) & (cand[j] < ids[s + i]))
-                i, j, c = i[keep], j[keep], c[keep]
-                # one row per candidate tracklet, its best point
-                by = np.lexsort((-c, cand[j], i))
-                i, j, c = i[by], j[by], c[by]
-                head = np.ones(len(i), dtype=bool)
-                head[1:] = (i[1:] != i[:-1]) | (cand[j][1:] != cand[j][:-1])
-                i, j, c = i[head], j[head], c[head]
-                if top_k is not None:
-                    by = np.lexsort((cand[j], -np.round(c, 6), i))
-                    i, j, c = i[by], j[by], c[by]
-                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.array([], dtype=int)
-                    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-                    i, j, c = i[rank < top_k], j[rank < top_k], c[rank < top_k]
-                found.append([ids[s + i], ta[s + i], cand[j], tb[j], c])
-        if not found:
-            found = [[np.array([], dtype=object), np.array([], dtype="int64")] * 2 + [np.array([], dtype="float64")]]
-        tid, ts, cid, cts, cos = (np.concatenate(x) for x in zip(*found))
-        n = len(tid)
-        cam = left.column("camera_id")[0].as_py() if left.num_rows else None
-        ccam = left.column("cand_camera_id")[0].as_py() if left.num_rows else None
-        return pa.table(
-            [
-                pa.array(tid, pa.string()),
-                pa.array([cam] * n, pa.string()),
-                pa.array(ts, pa.int64()),
-                pa.array(cid, pa.string()),
-                pa.array([ccam] * n, pa.string()),
-                pa.array(cts, pa.int64()),
-                pa.array(cos, pa.float64()),
-            ],
-            names=names,
-        )
+            ids = [t.column(c).to_numpy() for t, c in ((left, "tracklet_id"), (right, "cand_tracklet_id"))]
+            code = np.unique(np.concatenate(ids), return_inverse=True)[1]
+            back = tuple(left.column(c)[0].as_py() for c in ("back_min", "back_max"))
+            a = side(left, "vector", "ts", code[: left.num_rows])
+            b = side(right, "cand_vector", "cand_ts", code[left.num_rows :])
+            pair = cells.best_pairs(a, b, back, min_cosine, top_k, earlier_only)
+        mine, other = left.take(pa.array(pair.query)), right.take(pa.array(pair.cand))
+        columns = [mine.column(c) for c in ("tracklet_id", "camera_id", "ts")] + [other.column(c) for c in ("cand_tracklet_id", "cand_camera_id", "cand_ts")]
+        return pa.table([*columns, pa.array(pair.cosine, pa.float64())], names=[f.split()[0] for f in schema.split(", ")])
 
     return q.groupBy("cell").cogroup(p.groupBy("cand_cell")).applyInArrow(cell, schema)
 
@@ -257,16 +274,11 @@ def search_broad(
     open-ended search is refused."""
     if not window_seconds or window_seconds <= 0:
         raise ValueError("a search needs a time bound")
-    listed = cameras.agg(F.collect_set("camera_id")).scalar()
-    pairs = cameras.select("camera_id", F.explode(listed).alias("cand_camera_id"))
-    windows = pairs.select(
-        "camera_id",
-        "cand_camera_id",
-        F.lit(window_seconds).cast("bigint").alias("back_max"),
-        F.lit(0).cast("bigint").alias("back_min"),
-    )
-    good = points.where(F.col("quality_score") >= min_quality)
-    return rank_hits(search(queries, good, windows, -1.0, top_k=top_k, **options), top_k)
+    listed = cameras.select("camera_id").distinct()
+    asked = queries.join(listed, "camera_id", "left_semi")
+    good = points.where(F.col("quality_score") >= min_quality).join(listed, "camera_id", "left_semi")
+    window = queries.sparkSession.range(1).select(F.lit(window_seconds).cast("bigint").alias("back_max"), F.lit(0).cast("bigint").alias("back_min"))
+    return rank_hits(search(asked, good, window, -2.0, top_k=top_k, apart=False, **options), top_k)
 
 
 # ---- ranking --------------------------------------------------------------------

@@ -241,7 +241,39 @@ def thin_rate(v: Views) -> DataFrame:
     return detections.thin_rate(v.detections, 2.0)
 
 
-@query("iou_track", None, None)
+# one row per run of frames that may share a track; a step takes its next frame
+TRACK_SQL = """
+    WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_no, det_id) AS det_no FROM det),
+    frame AS (
+      SELECT camera_id, frame_no, list({'det': det_id, 'no': det_no, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY det_id) AS boxes
+      FROM numbered GROUP BY 1, 2),
+    opened AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER (PARTITION BY camera_id ORDER BY frame_no) < 32 THEN 0 ELSE 1 END AS opens FROM frame),
+    run AS (SELECT *, sum(opens) OVER (PARTITION BY camera_id ORDER BY frame_no) AS run FROM opened),
+    step AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY camera_id, run ORDER BY frame_no) AS n FROM run),
+    walk AS (
+      SELECT DISTINCT camera_id, run, 0::BIGINT AS n, 0::BIGINT AS frame_no, []::STRUCT(track BIGINT, seen BIGINT, age BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS live,
+             []::STRUCT(det BIGINT, track BIGINT, age BIGINT)[] AS done FROM step
+      UNION ALL
+      SELECT camera_id, run, n, frame_no,
+        list_concat(
+          list_filter(list_transform(held, lambda t, k: CASE WHEN list_position(claim, k) IS NULL THEN t ELSE
+            {'track': t.track, 'seen': frame_no, 'age': t.age + 1, 'x1': boxes[list_position(claim, k)].x1, 'y1': boxes[list_position(claim, k)].y1,
+             'x2': boxes[list_position(claim, k)].x2, 'y2': boxes[list_position(claim, k)].y2} END), lambda t: frame_no - t.seen <= 30),
+          list_transform(list_filter(boxes, lambda b, i: claim[i] = 0), lambda b: {'track': b.no, 'seen': frame_no, 'age': 1, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2})),
+        list_filter(list_transform(boxes, lambda b, i: CASE WHEN claim[i] = 0 THEN {'det': b.det, 'track': b.no, 'age': 1}
+          WHEN list_position(claim, claim[i]) = i THEN {'det': b.det, 'track': held[claim[i]].track, 'age': held[claim[i]].age + 1} END), lambda d: d IS NOT NULL)
+      FROM (SELECT *, list_transform(ious, lambda o: CASE WHEN list_max(o) > 0.2 THEN list_position(o, list_max(o)) ELSE 0 END) AS claim
+        FROM (SELECT *, list_transform(boxes, lambda b: list_transform(held, lambda t:
+            greatest(0, least(b.x2, t.x2) - greatest(b.x1, t.x1)) * greatest(0, least(b.y2, t.y2) - greatest(b.y1, t.y1))
+            / greatest(greatest(b.x2 - b.x1, 0) * greatest(b.y2 - b.y1, 0) + greatest(t.x2 - t.x1, 0) * greatest(t.y2 - t.y1, 0)
+              - greatest(0, least(b.x2, t.x2) - greatest(b.x1, t.x1)) * greatest(0, least(b.y2, t.y2) - greatest(b.y1, t.y1)), 1e-6))) AS ious
+          FROM (SELECT s.camera_id, s.run, s.n, s.frame_no, s.boxes, list_filter(w.live, lambda t: s.frame_no - t.seen <= 31) AS held
+            FROM walk w JOIN step s ON s.camera_id = w.camera_id AND s.run = w.run AND s.n = w.n + 1))))
+    SELECT camera_id, frame_no, d.det AS det_id, d.track AS track_id, d.age AS age, d.age >= 3 AS confirmed
+    FROM (SELECT camera_id, frame_no, unnest(done) AS d FROM walk)"""
+
+
+@query("iou_track", "det", TRACK_SQL)
 def iou_track(v: Views) -> DataFrame:
     return detections.track_boxes(v.detections)
 

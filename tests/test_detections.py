@@ -121,6 +121,52 @@ def test_track_boxes(spark, seed):
     assert got == sorted(naive_tracks(rows))
 
 
+BOXES = "camera_id string, frame_no bigint, det_id bigint, x1 double, y1 double, x2 double, y2 double, ts_ms bigint"
+
+
+def busy(seed, people=5, frames=600, grid=1):
+    """A camera that never pauses; on a coarse grid, equal overlaps and crossings are usual."""
+    rnd = random.Random(seed)
+    at = [[rnd.randrange(40), rnd.randrange(20)] for _ in range(people)]
+    rows = []
+    for f in range(frames):
+        for p in at:
+            p[0], p[1] = p[0] + rnd.randrange(-2, 3), p[1] + rnd.randrange(-1, 2)
+            if rnd.random() < 0.85:
+                x, y = float(p[0] * 10 * grid), float(p[1] * 10 * grid)
+                rows.append(("C", f, len(rows), x, y, x + 60, y + 120, f * 200))
+    return rows
+
+
+@pytest.mark.parametrize("seed,grid,chunking", [(1, 1, (40, 8)), (2, 1, (40, 0)), (3, 2, (64, 64)), (4, 3, (33, 70)), (5, 0.7, (100, 40))])
+def test_chunks_of_one_endless_camera(spark, seed, grid, chunking):
+    rows = busy(seed, grid=grid)
+    df = spark.createDataFrame(rows, BOXES).repartition(3)
+    trace = []
+    out = detections.track_boxes(df, frames=chunking[0], warm_up=chunking[1], trace=trace)
+    assert sorted((r.det_id, r.track_id, r.age, r.confirmed) for r in out.collect()) == sorted(naive_tracks(rows))
+    assert trace[0] == -(-600 // chunking[0])
+
+
+def test_a_long_warm_up_leaves_little_to_repeat(spark):
+    rows = [r for r in busy(6, people=2, frames=2000, grid=8)]
+    trace = []
+    out = detections.track_boxes(spark.createDataFrame(rows, BOXES), frames=100, warm_up=80, trace=trace)
+    assert sorted((r.det_id, r.track_id, r.age, r.confirmed) for r in out.collect()) == sorted(naive_tracks(rows))
+    assert trace[0] == 20 and sum(trace[1:]) <= 10
+
+
+def test_chunks_of_many_cameras(spark):
+    rows = walk(7, frames=300)
+    more = [(c, f + shift, *r) for c, shift in (("A", 0), ("B", 17), ("D", -50)) for _, f, *r in rows]
+    out = detections.track_boxes(spark.createDataFrame(more, BOXES), frames=50, warm_up=10).collect()
+    want = sorted(naive_tracks(rows))
+    for camera in "ABD":
+        assert sorted((r.det_id, r.track_id, r.age, r.confirmed) for r in out if r.camera_id == camera) == want
+    with pytest.raises(ValueError):
+        detections.track_boxes(spark.createDataFrame(rows, BOXES), frames=20)
+
+
 def test_a_track_takes_its_first_claim():
     from mcid.operators.tracker import Tracker
 

@@ -1,15 +1,16 @@
 """Streams with keyed state: stays, live bindings, thinning and tracking.
 
-Rows of one micro-batch are put in event order before they change the state.
+Rows change the state in the order of their event times, whatever order they arrive in: they wait in the state
+until the watermark has passed them, and only then are applied, sorted. So the result does not depend on how the
+input is cut into files and batches, and equals that of the batch operators on all rows up to the watermark.
+Rows that come at or behind the watermark are late and dropped by Spark. A key holds the rows of the delay and its own state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,205 +20,244 @@ from .windows import timed
 DAY_MS = 86_400_000
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+class InOrder(StatefulProcessor):
+    """Rows by event time. ``fields``: the columns to keep; the first one, ``at_ms``, says when a row is complete.
+
+    One timer is set per key, at the earliest thing that waits: a row, or :meth:`limit`.
+    """
+
+    fields: dict[str, str]
+    columns: list[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.fields.items()))
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+        self.ready(handle)
 
+    def ready(self, handle: StatefulProcessorHandle) -> None:
+        """Set up the processor's own state."""
+
+    def apply(self, key: tuple, rows: list[tuple], watermark: int) -> list[tuple]:
+        """Change the state by rows in order; none lies behind the watermark, and no more will come up to it."""
+        raise NotImplementedError
+
+    def limit(self) -> int | None:
+        """When the state itself is due."""
+        return None
 
-class _Processor(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for part in rows:
+            if len(part):
+                # plain values; pandas turns whole numbers with gaps into floats
+                values = [[None if pd.isna(x) else x.item() if isinstance(x, np.generic) else x for x in part[c]] for c in self.fields]
+                self.waiting.appendList(list(zip(*values)))
+                low = min(values[0])
+                first = low if first is None else min(first, low)
+        self._wake(first)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def _wake(self, at: int | None) -> None:
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if at is None or (held is not None and held <= at):
+            return
+        if held is not None:
+            self.handle.deleteTimer(held)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for row in self.waiting.get():
+            (due if row[0] <= watermark else rest).append(tuple(row))
+        due.sort(key=lambda r: [(x is not None, x) for x in r])
+        out = self.apply(key, due, watermark)
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        self.timer.clear()
+        times = [r[0] for r in rest] + [t for t in (self.limit(),) if t is not None]
+        self._wake(min(times, default=None))
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+def _ordered(df: DataFrame, keys: list[str], processor: InOrder, output: str, delay: str, at: Column) -> DataFrame:
+    configure_state(df.sparkSession)
+    rows = timed(df, delay).withColumn("at_ms", at).select("ts", *keys, *[F.col(n).cast(t).alias(n) for n, t in processor.fields.items() if n not in keys])
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime"
+    )
+
 
 # ---- stays ----------------------------------------------------------------------
-class Stays(_Processor):
-    """Open on entry, close on exit; an open stay closes by timer at the limit."""
+class Stays(InOrder):
+    """Open on entry, close on exit; a stay that is open for the limit closes then, whether or not an exit comes later."""
 
+    fields = {"at_ms": "bigint", "event_id": "bigint", "camera_id": "string", "event_type": "string"}
     columns = ["global_id", "zone_id", "camera_id", "entered_ms", "exited_ms", "duration_seconds", "status"]
 
     def __init__(self, max_open_ms: int) -> None:
         self.max_open_ms = max_open_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def ready(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "camera_id string, entered_ms bigint")
 
-    def _row(self, key: tuple, camera: str, entered: int, exited: int) -> tuple:
-        return (*key, camera, entered, exited, max(0, (exited - entered) // 1000), "closed")
-
-    def handleInputRows(self, key, rows, timerValues):
-        held = self.open.get() if self.open.exists() else None
-        out = []
-        for r in _ordered(rows, ["ts_ms", "event_id"]).itertuples():
-            if r.event_type == "enter" and held is None:
-                held = (r.camera_id, int(r.ts_ms))
-                self.handle.registerTimer(held[1] + self.max_open_ms)
-            elif r.event_type == "exit" and held is not None:
-                out.append(self._row(key, held[0], held[1], int(r.ts_ms)))
-                self.handle.deleteTimer(held[1] + self.max_open_ms)
-                held = None
+    def apply(self, key: tuple, rows: list[tuple], watermark: int) -> list[tuple]:
+        held = tuple(self.open.get()) if self.open.exists() else None
+        out: list[tuple] = []
+
+        def leave(at: int) -> None:
+            nonlocal held
+            camera, entered = held
+            out.append((*key, camera, entered, at, max(0, (at - entered) // 1000), "closed"))
+            held = None
+
+        for at, _, camera, kind in rows:
+            if held is not None and at >= held[1] + self.max_open_ms:
+                leave(held[1] + self.max_open_ms)
+            if kind == "enter" and held is None:
+                held = (camera, at)
+            elif kind == "exit" and held is not None:
+                leave(at)
+        if held is not None and held[1] + self.max_open_ms <= watermark:
+            leave(held[1] + self.max_open_ms)
         if held is None:
             self.open.clear()
         else:
             self.open.update(held)
-        yield pd.DataFrame(out, columns=self.columns)
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.open.exists():
-            camera, entered = self.open.get()
-            due = expiredTimerInfo.getExpiryTimeInMs()
-            if due == entered + self.max_open_ms:
-                out.append(self._row(key, camera, entered, due))
-                self.open.clear()
-        yield pd.DataFrame(out, columns=self.columns)
+    def limit(self) -> int | None:
+        return self.open.get()[1] + self.max_open_ms if self.open.exists() else None
 
 
 def stays(events: DataFrame, delay: str = "1 hour", max_open_seconds: int = 86_400) -> DataFrame:
-    configure_state(events.sparkSession)
-    return (
-        timed(events, delay)
-        .groupBy("global_id", "zone_id")
-        .transformWithStateInPandas(
-            statefulProcessor=Stays(max_open_seconds * 1000),
-            outputStructType="global_id string, zone_id string, camera_id string, entered_ms bigint, exited_ms bigint, duration_seconds bigint, status string",
-            outputMode="append",
-            timeMode="eventTime",
-        )
-    )
+    """Stays that were left or reached the limit before the watermark."""
+    output = "global_id string, zone_id string, camera_id string, entered_ms bigint, exited_ms bigint, duration_seconds bigint, status string"
+    return _ordered(events, ["global_id", "zone_id"], Stays(max_open_seconds * 1000), output, delay, F.col("ts_ms"))
 
 
 # ---- bindings -------------------------------------------------------------------
-class Bindings(_Processor):
+class Bindings(InOrder):
     """Per camera: the latest identity of each track, and of the camera."""
 
+    # at one time, bindings come before detections
+    fields = {"at_ms": "bigint", "kind": "int", "global_id": "string", "local_track_id": "bigint", "det_id": "bigint"}
+    columns = ["det_id", "global_id"]
+
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def ready(self, handle: StatefulProcessorHandle) -> None:
         self.tracks = handle.getMapState("tracks", "track bigint", "global_id string, at_ms bigint")
         self.latest = handle.getValueState("latest", "global_id string, at_ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        live = {k[0]: v for k, v in self.tracks.iterator()}
-        before = set(live)
-        last = self.latest.get() if self.latest.exists() else None
-        frame = _ordered(rows, ["ts_ms", "kind"])
-        out, now = [], 0
-        for kind, det, track, ts, gid in zip(*(frame[c].tolist() for c in ("kind", "det_id", "local_track_id", "ts_ms", "global_id"))):
-            now = ts
+    def apply(self, key: tuple, rows: list[tuple], watermark: int) -> list[tuple]:
+        live = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
+        before = dict(live)
+        last = tuple(self.latest.get()) if self.latest.exists() else None
+        out = []
+        for at, kind, gid, track, det in rows:
             if kind == 0:
-                live[track] = last = (gid, ts)
+                live[track] = last = (gid, at)
                 continue
             own = live.get(track)
-            hit = own if own and ts - own[1] <= self.ttl_ms else last if last and ts - last[1] <= self.ttl_ms else None
+            hit = own if own and at - own[1] <= self.ttl_ms else last if last and at - last[1] <= self.ttl_ms else None
             out.append((det, hit[0] if hit else None))
-        fresh = {k: v for k, v in live.items() if now - v[1] <= self.ttl_ms}
-        for k in before - set(fresh):
+        # what no row after the watermark can use any more goes
+        fresh = {k: v for k, v in live.items() if watermark - v[1] <= self.ttl_ms}
+        for k in before.keys() - fresh.keys():
             self.tracks.removeKey((k,))
         for k, v in fresh.items():
-            self.tracks.updateValue((k,), tuple(v))
+            if before.get(k) != v:
+                self.tracks.updateValue((k,), v)
         if last is not None:
-            self.latest.update(tuple(last))
-        yield pd.DataFrame(out, columns=["det_id", "global_id"])
+            self.latest.update(last)
+        return out
 
 
 def bindings(detections: DataFrame, decided: DataFrame, delay: str = "10 minutes", ttl_ms: int = 600_000) -> DataFrame:
     """Identity of each live detection; see ``candidates.bind_identity``."""
-    configure_state(detections.sparkSession)
     both = detections.select(
         F.lit(1).alias("kind"), "det_id", "camera_id", "local_track_id", "ts_ms", F.lit(None).cast("string").alias("global_id")
     ).unionByName(
         decided.select(F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("det_id"), "camera_id", "local_track_id", "ts_ms", "global_id")
     )
-    return (
-        timed(both, delay)
-        .groupBy("camera_id")
-        .transformWithStateInPandas(
-            statefulProcessor=Bindings(ttl_ms),
-            outputStructType="det_id bigint, global_id string",
-            outputMode="append",
-            timeMode="none",
-        )
-    )
+    return _ordered(both, ["camera_id"], Bindings(ttl_ms), "det_id bigint, global_id string", delay, F.col("ts_ms"))
 
 
 # ---- thinning -------------------------------------------------------------------
-class Thin(_Processor):
+class Thin(InOrder):
+    fields = {"at_ms": "bigint"}
+    columns = ["camera_id", "ts_ms"]
+
     def __init__(self, interval_ms: int) -> None:
         self.interval_ms = interval_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def ready(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at_ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key: tuple, rows: list[tuple], watermark: int) -> list[tuple]:
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for ts in _ordered(rows, ["ts_ms"])["ts_ms"].tolist():
-            if last is None or ts - last >= self.interval_ms:
-                kept.append((key[0], ts))
-                last = ts
+        for (at,) in rows:
+            if last is None or at - last >= self.interval_ms:
+                kept.append((key[0], at))
+                last = at
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(kept, columns=["camera_id", "ts_ms"])
+        return kept
 
 
-def thinned(df: DataFrame, hertz: float = 5.0) -> DataFrame:
+def thinned(df: DataFrame, hertz: float = 5.0, delay: str = "10 seconds") -> DataFrame:
     """Event times per camera, at most ``hertz`` a second."""
-    configure_state(df.sparkSession)
-    return (
-        df.select("camera_id", "ts_ms")
-        .groupBy("camera_id")
-        .transformWithStateInPandas(
-            statefulProcessor=Thin(round(1000 / hertz)),
-            outputStructType="camera_id string, ts_ms bigint",
-            outputMode="append",
-            timeMode="none",
-        )
-    )
+    return _ordered(df, ["camera_id"], Thin(round(1000 / hertz)), "camera_id string, ts_ms bigint", delay, F.col("ts_ms"))
 
 
 # ---- tracking ---------------------------------------------------------------------
-class Tracks(_Processor):
+class Tracks(InOrder):
+    """Frames are tracked once they are over, so boxes of one frame may arrive apart."""
+
+    fields = {"at_ms": "bigint", "frame_no": "bigint", "det_id": "bigint", "x1": "double", "y1": "double", "x2": "double", "y2": "double"}
     columns = ["camera_id", "frame_no", "det_id", "track_id", "age", "confirmed"]
 
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def ready(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getMapState("live", "track bigint", "x1 double, y1 double, x2 double, y2 double, frame bigint, age bigint")
         self.count = handle.getValueState("count", "n bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key: tuple, rows: list[tuple], watermark: int) -> list[tuple]:
         from ..operators.tracker import STATE, Tracker
 
-        tracker, held = Tracker(**self.options), []
+        if not rows:
+            return []
+        tracker = Tracker(**self.options)
         # tracks open in the order of their numbers
-        for k, v in sorted(self.live.iterator(), key=lambda kv: kv[0][0]):
-            held.append((k[0], tuple(v[:4]), v[4], v[5]))
+        held = sorted(((k[0], tuple(v[:4]), v[4], v[5]) for k, v in self.live.iterator()), key=lambda h: h[0])
         tracker.live = np.array(held, STATE)
-        before = {h[0] for h in held}
         n = self.count.get()[0] if self.count.exists() else 0
-        out = []
-        for frame_no, part in _ordered(rows, ["frame_no", "det_id"]).groupby("frame_no", sort=True):
-            boxes = []
-            for det, *b in zip(*(part[c].tolist() for c in ("det_id", "x1", "y1", "x2", "y2"))):
-                n += 1
-                boxes.append((det, n, tuple(b)))
-            out += [(key[0], frame_no, *row) for row in tracker.frame(int(frame_no), boxes)]
-        for k in before - set(tracker.live["track"].tolist()):
+        out, frames = [], {}
+        for _, frame_no, det, *box in rows:
+            n += 1
+            frames.setdefault(frame_no, []).append((det, n, tuple(box)))
+        for frame_no, boxes in frames.items():
+            out += [(key[0], frame_no, *row) for row in tracker.frame(frame_no, boxes)]
+        for k in {h[0] for h in held} - set(tracker.live["track"].tolist()):
             self.live.removeKey((k,))
         for k, box, frame, age in tracker.live.tolist():
             self.live.updateValue((k,), (*box, int(frame), age))
         self.count.update((n,))
-        yield pd.DataFrame(out, columns=self.columns)
+        return out
 
 
-def tracked(df: DataFrame, **options) -> DataFrame:
-    """Tracks per camera; see ``detections.track_boxes``."""
-    configure_state(df.sparkSession)
-    return df.groupBy("camera_id").transformWithStateInPandas(
-        statefulProcessor=Tracks(options),
-        outputStructType="camera_id string, frame_no bigint, det_id bigint, track_id bigint, age bigint, confirmed boolean",
-        outputMode="append",
-        timeMode="none",
-    )
+def tracked(df: DataFrame, delay: str = "10 seconds", frame_ms: int = 200, **options) -> DataFrame:
+    """Tracks per camera; see ``detections.track_boxes``. A frame spans ``frame_ms`` from ``frame_no * frame_ms``."""
+    output = "camera_id string, frame_no bigint, det_id bigint, track_id bigint, age bigint, confirmed boolean"
+    return _ordered(df, ["camera_id"], Tracks(options), output, delay, (F.col("frame_no") + 1) * frame_ms - 1)

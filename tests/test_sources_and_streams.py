@@ -1,8 +1,11 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from mcid.operators import candidates, detections
 from mcid.sources import readers, writers
 from mcid.streaming import processors, run
 
@@ -57,11 +60,82 @@ def test_constrained_column(spark):
     assert good.count() == 1 and bad.count() == 2
 
 
-def test_stream_tracks_equal_batch(spark):
-    q = entry.queries()
-    a = sorted(map(tuple, q["iou_track"](spark, SF).collect()))
-    b = sorted(map(tuple, q["stream_iou_track"](spark, SF).collect()))
-    assert a == b
+# ---- event order ---------------------------------------------------------------------------
+def arrivals(spark, path, rows, schema, files, late_ms, seed):
+    """Rows over several files, each up to ``late_ms`` after rows of later times; then one far row that moves the watermark."""
+    rnd = random.Random(seed)
+    at = schema.split(", ").index("ts_ms bigint")
+    arriving = sorted(rows, key=lambda r: r[at] + rnd.random() * late_ms)
+    size = -(-len(arriving) // files)
+    for k in range(0, len(arriving), size):
+        spark.createDataFrame(arriving[k : k + size], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+DET = "det_id bigint, camera_id string, local_track_id bigint, frame_no bigint, ts_ms bigint, x1 double, y1 double, x2 double, y2 double"
+
+
+def seen_boxes(seed, n=400):
+    rnd = random.Random(seed)
+    rows, frame = [], 1000  # rows at time 0 would be late from the start
+    for k in range(n):
+        frame += rnd.choice([0, 0, 1, 1, 2, 40])
+        x = float(rnd.randrange(4) * 40 + rnd.randrange(20))
+        rows.append((k, rnd.choice(["A", "B"]), rnd.randrange(4), frame, frame * 200 + k % 3, x, 10.0, x + 60, 150.0))
+    return rows
+
+
+@pytest.mark.parametrize("files,late_ms", [(1, 0), (5, 4000), (9, 9000)])
+def test_thinning_and_tracking_do_not_depend_on_arrival(spark, tmp_path, files, late_ms):
+    rows = seen_boxes(files)
+    batch = spark.createDataFrame(rows, DET)
+    end = max(r[4] for r in rows) - 10_000
+    live = arrivals(spark, str(tmp_path / "in"), rows, DET, files, late_ms, files)
+    got = sorted(map(tuple, run.to_table(processors.thinned(live, 2.0), "thin")[0].collect()))
+    assert got == sorted(map(tuple, detections.thin_rate(batch, 2.0).where(f"ts_ms <= {end}").collect())) and len(got) > 50
+    # boxes of a frame come in different files
+    got = sorted(map(tuple, run.to_table(processors.tracked(live), "tracks")[0].collect()))
+    assert got == sorted(map(tuple, detections.track_boxes(batch).where(f"(frame_no + 1) * 200 - 1 <= {end}").collect())) and len(got) > 200
+
+
+@pytest.mark.parametrize("files,late_ms", [(1, 0), (6, 500_000)])
+def test_bindings_do_not_depend_on_arrival(spark, tmp_path, files, late_ms):
+    rnd = random.Random(files)
+    det = [(k, rnd.choice("AB"), rnd.randrange(5), None, 1_000_000 + k * 7000 + rnd.randrange(5000)) for k in range(400)]
+    named = [(-1, rnd.choice("AB"), rnd.randrange(5), f"G{k}", 1_000_000 + k * 60_000) for k in range(48)]
+    schema = "det_id bigint, camera_id string, local_track_id bigint, global_id string, ts_ms bigint"
+    live = arrivals(spark, str(tmp_path / "in"), det + named, schema, files, late_ms, files)
+    out = run.to_table(processors.bindings(live.where("det_id >= 0"), live.where("det_id < 0")), "bindings")[0]
+    both = spark.createDataFrame(det + named, schema)
+    want = candidates.bind_identity(both.where("det_id >= 0").drop("global_id"), both.where("det_id < 0").drop("det_id"))
+    end = max(r[4] for r in det + named) - 600_000
+    pairs = sorted(((r.det_id, r.global_id or "") for r in out.collect()))
+    assert pairs == sorted((r.det_id, r.global_id or "") for r in want.where(f"ts_ms <= {end}").collect())
+    assert len(pairs) > 250 and sum(g != "" for _, g in pairs) > 150
+
+
+@pytest.mark.parametrize("files,late_ms", [(1, 0), (7, 3_000_000)])
+def test_stays_do_not_depend_on_arrival(spark, tmp_path, files, late_ms):
+    rnd = random.Random(3)
+    rows = [(k, f"G{rnd.randrange(6)}", f"Z{rnd.randrange(2)}", "C", rnd.choice(["enter", "exit"]), 1_000_000 + k * 900_000 + rnd.randrange(900_000)) for k in range(500)]
+    cols = "event_id bigint, global_id string, zone_id string, camera_id string, event_type string, ts_ms bigint"
+    limit, end = 8 * 3600, max(r[5] for r in rows) - 3_600_000
+    want, inside = [], {}
+    for _, person, zone, _, kind, at in sorted(rows, key=lambda r: r[5]):
+        if at > end:
+            break
+        key = (person, zone)
+        if key in inside and at >= inside[key] + limit * 1000:
+            want.append((*key, inside[key], inside.pop(key) + limit * 1000))
+        if kind == "enter":
+            inside.setdefault(key, at)
+        elif key in inside:
+            want.append((*key, inside.pop(key), at))
+    want += [(*key, at, at + limit * 1000) for key, at in inside.items() if at + limit * 1000 <= end]
+    live = arrivals(spark, str(tmp_path / "in"), rows, cols, files, late_ms, files)
+    out = run.to_table(processors.stays(live, max_open_seconds=limit), "stays")[0]
+    assert sorted((r.global_id, r.zone_id, r.entered_ms, r.exited_ms) for r in out.collect()) == sorted(want)
+    assert sum(b - a == limit * 1000 for *_, a, b in want) > 3
 
 
 def test_stays_over_several_batches(spark, tmp_path):

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import vectors
 from . import sequences
 from .detections import DAY_MS, drop_overlapping
 
@@ -156,11 +162,90 @@ def provisional_gate(df: DataFrame, sightings: int = 2) -> DataFrame:
     return df.where(~F.col("provisional") | (F.col("sightings") >= sightings))
 
 
+#: Numbers that a task holds before it passes its sums on.
+HELD = 4 << 20
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Length-one mean of length-one vectors, summed by position before the
-    shuffle so that a key with many vectors stays small."""
-    unit = df.select(*keys, vectors.unit(F.col(vector)).alias("_u"))
-    by_pos = unit.select(*keys, F.posexplode("_u").alias("_pos", "_x"))
-    sums = by_pos.groupBy(*keys, "_pos").agg(F.avg("_x").alias("_x"))
-    whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_x"))).alias("_v"))
-    return whole.select(*keys, vectors.unit(F.transform("_v", lambda s: s["_x"])).alias(vector))
+    """Length-one mean of length-one vectors, by key.
+
+    Tasks add up their vectors as arrays and pass on one sum per key (more if they hold too many numbers), so a
+    key with very many vectors is one row per task, whatever the number of positions; sums of a key meet in
+    sorted order, one after the other. Missing vectors and ones with gaps add nothing; a key without any other
+    gets no row. Of vectors of different lengths, each position is the mean of those that have it.
+    """
+    fields = [df.schema[k] for k in keys]
+    summed = T.StructType([*fields, T.StructField("_sum", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())])
+    whole = T.StructType([*fields, T.StructField(vector, T.ArrayType(T.DoubleType()))])
+    names, types = list(keys), to_arrow_schema(T.StructType(fields))
+
+    def table(rows: list[tuple], arrays: list[pa.Array], more: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], types.field(i).type) for i in range(len(names))]
+        return pa.record_batch([*columns, *arrays], names=[*names, *more])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def passed() -> pa.RecordBatch:
+            rows = [k[:-1] for k in held]
+            sums = pa.array([total for total, _ in held.values()], pa.list_(pa.float64()))
+            return table(rows, [sums, pa.array([n for _, n in held.values()], pa.int64())], ["_sum", "_n"])
+
+        for batch in batches:
+            column = batch.column(len(names))
+            length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            if column.flatten().null_count:
+                length = np.where([v is not None and None not in v for v in column.to_pylist()], length, 0)
+            for size in np.unique(length[length > 0]).tolist():
+                rows = np.flatnonzero(length == size)
+                some = batch.take(pa.array(rows))
+                m = some.column(len(names)).flatten().cast(pa.float64()).to_numpy().reshape(-1, size)
+                norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+                m = np.where(norm < 1e-12, m, m / np.maximum(norm, 1e-12))
+                code = some.select(names).to_pandas().groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+                sums, counts = np.add.reduceat(m[order], starts, axis=0), np.diff(np.r_[starts, len(order)])
+                found = some.select(names).take(pa.array(order[starts])).to_pylist()
+                for key, total, n in zip(found, sums, counts.tolist()):
+                    entry = held.setdefault((*(key[c] for c in names), size), [0.0, 0])
+                    entry[0], entry[1] = entry[0] + total, entry[1] + n
+            if sum(k[-1] for k in held) > HELD:
+                yield passed()
+                held.clear()
+        if held:
+            yield passed()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total, count = None, np.zeros(0), np.zeros(0)
+        done: list[tuple[tuple, np.ndarray]] = []
+
+        def finished() -> pa.RecordBatch:
+            return table([k for k, _ in done], [pa.array([v for _, v in done], pa.list_(pa.float64()))], [vector])
+
+        def close() -> None:
+            mean = total / np.maximum(count, 1)
+            norm = float(np.sqrt(mean @ mean))
+            done.append((current, mean if norm < 1e-12 else mean / norm))
+
+        for batch in batches:
+            keys_ = zip(*(batch.column(i).to_pylist() for i in range(len(names))))
+            for key, sums, n in zip(keys_, batch.column(len(names)), batch.column(len(names) + 1).to_pylist()):
+                if key != current:
+                    if current is not None:
+                        close()
+                    current, total, count = key, np.zeros(0), np.zeros(0)
+                part = sums.values.to_numpy()
+                wider = max(len(part), len(total))
+                total, count = (np.pad(x, (0, wider - len(x))) for x in (total, count))
+                total[: len(part)] += part
+                count[: len(part)] += n
+            if done:
+                yield finished()
+                done.clear()
+        if current is not None:
+            close()
+            yield finished()
+
+    partial = df.select(*keys, vector).mapInArrow(add, summed)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, whole)

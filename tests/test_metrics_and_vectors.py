@@ -1,9 +1,10 @@
 """Matching and metrics on cases that the derived tables do not hold; bad vectors; loose numbers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mcid.operators import candidates, evaluation, telemetry
+from mcid.operators import candidates, evaluation, telemetry, tracklets
 from mcid.sources import readers, writers
 
 TRUE = "camera_id string, frame_no bigint, true_id bigint, ts_ms bigint, x1 double, y1 double, x2 double, y2 double"
@@ -72,3 +73,26 @@ def test_equal_versions_are_settled_by_the_row(spark):
         assert [(r.version, r.v) for r in got] == [(2, "c")]
         fresh = writers.new_rows(incoming.repartition(part), stored.where("false"), ["id"]).collect()
         assert [r.v for r in fresh] == ["a"]
+
+
+def test_mean_of_one_key_with_most_vectors(spark, monkeypatch):
+    """Sums meet across tasks and flushes; a key is never one group of vectors, and no row is made per position."""
+    rnd = np.random.default_rng(4)
+    rows = [("hot" if k % 3 else None, k % 2, rnd.normal(size=3840 if k % 5 else 100).tolist()) for k in range(600)]
+    rows += [("gap", 0, [1.0, None, 2.0]), ("gap", 0, None), ("gap", 0, []), ("zero", 1, [0.0, 0.0]), ("one", 1, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "name string, side long, v array<double>").repartition(7)
+    monkeypatch.setattr(tracklets, "HELD", 5000)
+    out = tracklets.mean_vectors(df, ["name", "side"], "v")
+    plan = out._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    got = {(r.name, r.side): np.array(r.v) for r in out.collect()}
+    want = {}
+    for name, side, v in rows:
+        if v and None not in v:
+            total, count = want.setdefault((name, side), (np.zeros(4000), np.zeros(4000)))
+            total[: len(v)] += np.array(v) / (np.linalg.norm(v) or 1)
+            count[: len(v)] += 1
+    assert got.keys() == want.keys() == {("hot", 0), ("hot", 1), (None, 0), (None, 1), ("zero", 1), ("one", 1)}
+    for key, (total, count) in want.items():
+        mean = (total / np.maximum(count, 1))[: int((count > 0).sum())]
+        assert np.allclose(got[key], mean / (np.linalg.norm(mean) or 1), atol=1e-12)

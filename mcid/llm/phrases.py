@@ -7,9 +7,11 @@ Phrases of 1 to ``longest`` words that occur ``least`` times or more are wanted
   proposal and its negative border, which is never written out. Words are always counted. The border is large and
   nearly all of it rare, so it is shuffled as digests: a digest's total bounds the counts of its phrases from above.
 * A phrase outside the proposal that is, or by its digest may be, frequent is a border failure: longer ones that
-  start from it may have been missed. Then all such phrases are added to the proposal, and another pass counts what
-  only now has both parts in it, and the phrases of the frequent digests by their words. When no frequent phrase is
-  outside the proposal, none is missing: the parts of a frequent phrase are frequent, so proposed, so it was counted.
+  start from it may have been missed. Then all such phrases are added to the proposal, and an expansion pass counts
+  what only now has both parts in it, and the phrases of the frequent digests by their words. Few phrases are new
+  to it, so it takes them as proposed at once and goes on to longer ones. A proposal that was not mined (an empty
+  sample) is expanded by one length a pass. In the end every frequent phrase was counted: its parts are frequent, so
+  proposed or taken as proposed.
 
 The proposal travels as a bitmap of fixed size (:mod:`members`). It may hold a phrase by mistake, which makes a
 pass count more, never less and never wrongly; so the broadcast is bounded whatever the number of phrases.
@@ -37,7 +39,7 @@ from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .common import map_arrow, release, texts
-from .members import bitmap, holds, packed, unpacked
+from .members import LOG_BITS, bitmap, holds, packed, unpacked
 
 #: Ends of pieces, and what each byte becomes: a byte that UTF-8 never has, a space, a letter in lower case.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -71,7 +73,8 @@ def phrases(
     words: Words, new: np.ndarray | None, old: np.ndarray | None, asked: np.ndarray | None, longest: int, digests: bool
 ) -> Iterator[tuple[pa.Array | None, np.ndarray, np.ndarray]]:
     """Names (None: of the border, by digest only), hashes and counts of what a pass with the proposal ``new`` counts and one
-    with ``old`` did not, and of the phrases in ``asked``, of which that one only counted digests.
+    with ``old`` did not, and of the phrases in ``asked``, of which that one only counted digests. With ``asked``, what is
+    counted is taken as proposed.
 
     Proposals are bitmaps; None stands for none, with which nothing longer than a word is counted.
     """
@@ -98,13 +101,17 @@ def phrases(
         first = np.zeros(len(keys), np.int64)
         first[codes[::-1]] = both[::-1]
         head, tail = keys >> 32, keys & 0xFFFFFFFF
-        fresh = ~(was[head] & was[at[first + 1]])
+        reached = was[head] & was[at[first + 1]]
+        fresh = ~reached
         counts = np.bincount(codes, minlength=len(keys))
         hashes = hashes[head] * FACTOR + words.hashes[tail]
         proposed = holds(new, hashes)
-        was = np.zeros(len(keys), bool) if old is None else holds(old, hashes)
+        # a phrase that the other pass did not come to led it nowhere, even if its bitmap held it by mistake
+        held = np.zeros(len(keys), bool) if old is None else holds(old, hashes)
+        was = reached & held
         if asked is not None:
-            fresh |= holds(asked, hashes) & ~was
+            fresh |= holds(asked, hashes) & ~held
+            proposed |= fresh
         named = np.flatnonzero(fresh & proposed if digests else fresh)
         # only phrases that are given by name, or that longer ones start from, need one
         shown = np.flatnonzero(proposed | fresh & (not digests))
@@ -175,7 +182,7 @@ def outside(found: DataFrame, proposal: Proposal, longest: int) -> DataFrame:
     return map_arrow(found.where(F.col("size").between(1, longest - 1)).select("h"), run, "h long")
 
 
-def mine(docs: DataFrame, least: float, longest: int, proposal: np.ndarray | None = None) -> tuple[list[DataFrame], np.ndarray | None]:
+def mine(docs: DataFrame, least: float, longest: int, proposal: np.ndarray | None = None, log_bits: int = LOG_BITS) -> tuple[list[DataFrame], np.ndarray | None]:
     """All frequent phrases, one table per pass (lang, phrase, size, h, n), and the last proposal."""
     spark = docs.sparkSession
     passes: list[DataFrame] = []
@@ -187,13 +194,14 @@ def mine(docs: DataFrame, least: float, longest: int, proposal: np.ndarray | Non
         counted = cut_lineage(count(docs, now, before, some, longest, digests).where((F.col("size") == 0) | (F.col("n") >= least)))
         frequent, border = counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL")
         passes.append(frequent)
-        closed = border.isEmpty() and outside(frequent, now, longest).isEmpty()
+        # a pass that takes as proposed what it counts has followed all of it to the end
+        closed = asked is not None or border.isEmpty() and outside(frequent, now, longest).isEmpty()
         for p in sent:
             p.drop()
         if closed:
             return passes, proposal
-        asked = bitmap(border) if digests else None
-        more = bitmap(frequent.where(F.col("size").between(1, longest - 1)).select("h").unionByName(border.select("h")))
+        asked = bitmap(border, log_bits) if digests else None
+        more = bitmap(frequent.where(F.col("size").between(1, longest - 1)).select("h").unionByName(border.select("h")), log_bits)
         # nothing was counted beyond words before there was a proposal
         old = np.zeros_like(more) if proposal is None else proposal
         proposal = more | old
@@ -204,16 +212,16 @@ def sample_of(docs: DataFrame, share: float) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: float = 0.1, lowered: float = 0.6) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: float = 0.1, lowered: float = 0.6, log_bits: int = LOG_BITS) -> DataFrame:
     """lang, phrase, size, n: all phrases that occur ``least`` times or more; of size 0, each language's number of words.
 
     ``share`` of the documents are the sample; there, a phrase is proposed from ``lowered`` times the count that
-    its share would give. Neither changes the result.
+    its share would give; ``log_bits`` is the size of a bitmap. None of them changes the result.
     """
     rows = docs.select("doc_id", "lang", "text")
-    tried, proposal = mine(sample_of(rows, share), least * share * lowered, longest)
+    tried, proposal = mine(sample_of(rows, share), least * share * lowered, longest, log_bits=log_bits)
     release(docs.sparkSession, *tried)
-    passes, _ = mine(rows, least, longest, proposal)
+    passes, _ = mine(rows, least, longest, proposal, log_bits)
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
@@ -246,7 +254,7 @@ def around(found: DataFrame) -> DataFrame:
     return found.where("size > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000, **sampling: float) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000, **sampling: float | int) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language by score.
 
     A candidate goes if a longer one around it has ``percent`` of its occurrences or more.

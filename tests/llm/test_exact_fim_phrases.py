@@ -190,11 +190,11 @@ def chatter(seed: int, n: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("share,lowered", [(0.3, 0.6), (0.3, 4.0), (0.0, 1.0), (1.0, 1.0)])
-def test_phrases_for_any_sample(spark, share, lowered):
-    """A poor sample, none, or all: what is proposed never changes the result."""
+@pytest.mark.parametrize("share,lowered,log_bits", [(0.3, 0.6, 26), (0.3, 4.0, 26), (0.0, 1.0, 26), (1.0, 1.0, 26), (0.3, 3.0, 12), (0.3, 3.0, 9), (0.0, 1.0, 11)])
+def test_phrases_for_any_sample(spark, share, lowered, log_bits):
+    """A poor sample, none, or all, and bitmaps that hold much by mistake: what is proposed never changes the result."""
     rows = awkward() + chatter(3, 150)
-    got = rows_of(phrases.collocations(frame(spark, rows).repartition(4), 6, 5, 100, 40, share=share, lowered=lowered), *NAMES)
+    got = rows_of(phrases.collocations(frame(spark, rows).repartition(4), 6, 5, 100, 40, share=share, lowered=lowered, log_bits=log_bits), *NAMES)
     assert got == best(rows, 6, 5, 100, 40) and len(got) > 60
 
 

@@ -289,17 +289,17 @@ TRACKLET_SQL = f"""
       SELECT camera_id, local_track_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms,
              arg_min_null(zone_id, (ts_ms, det_id)) AS start_zone_id, arg_max_null(zone_id, (ts_ms, det_id)) AS end_zone_id,
              count(*) AS frame_count,
-             array_to_string(list(x1::BIGINT::VARCHAR ORDER BY ts_ms, det_id)[1:15], ',') AS boxes
+             array_to_string(list(concat_ws(' ', x1::BIGINT, y1::BIGINT, x2::BIGINT, y2::BIGINT) ORDER BY ts_ms, det_id)[1:15], ',') AS boxes
       FROM {SESSIONS % 'zoned'} GROUP BY camera_id, local_track_id, run HAVING count(*) >= 10)"""
 
 
 @query("tracklet_build", "zoned", TRACKLET_SQL)
 def tracklet_build(v: Views) -> DataFrame:
     built = tracklets.build(zoned(v), gap_ms=3000, min_detections=10)
-    firsts = F.transform("frame_bboxes", lambda b: b[0].cast("bigint").cast("string"))
+    sides = F.transform("frame_bboxes", lambda b: F.array_join(F.transform(b, lambda x: x.cast("bigint").cast("string")), " "))
     return built.select(
         "tracklet_id", "camera_id", "local_track_id", "start_ms", "end_ms", "start_zone_id", "end_zone_id",
-        "frame_count", F.array_join(firsts, ",").alias("boxes"),
+        "frame_count", F.array_join(sides, ",").alias("boxes"),
     )
 
 

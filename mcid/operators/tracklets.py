@@ -43,7 +43,10 @@ def build(
 
     Input: camera_id, local_track_id, det_id, ts_ms, zone_id, x1..y2, and
     optionally crop_uri, quality (crops) and embedding. Kept are runs with enough
-    crops, enough detections, or any embedding.
+    crops, enough detections, or any embedding. Crops of quality 0 do not count; where no
+    crop has a score, the first one stands for the tracklet with quality 0.
+    ``frame_bboxes`` holds the first ``max_crops`` of ``frame_count`` boxes, and
+    ``embedding_count`` is at most ``max_embeddings`` of ``n_embeddings``.
 
     Rows are first reduced to gap-wide buckets, which never straddle two runs, so
     a long or hot track shrinks before any shuffle; the first ``max_crops`` boxes
@@ -55,17 +58,19 @@ def build(
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = rows.withColumn("bucket", F.floor(F.col("ts_ms") / gap_ms))
     at = F.struct("ts_ms", "det_id")
+    has_crop = F.col("crop_uri").isNotNull()
     usable = F.col("quality") > 0
     best = F.struct(F.col("quality").alias("q"), (-F.col("ts_ms")).alias("t"), (-F.col("det_id")).alias("d"))
     part = rows.groupBy(*KEYS, "bucket").agg(
         F.min("ts_ms").alias("lo"),
         F.max("ts_ms").alias("hi"),
         F.count("*").alias("n"),
-        F.count(F.when(F.col("crop_uri").isNotNull() & usable, 1)).alias("crops"),
+        F.count(F.when(has_crop & (usable | F.col("quality").isNull()), 1)).alias("crops"),
         F.count("embedding").alias("embeddings"),
         F.min(F.struct(at.alias("at"), "zone_id")).alias("first"),
         F.max(F.struct(at.alias("at"), "zone_id")).alias("last"),
-        F.max(F.when(F.col("crop_uri").isNotNull() & usable, F.struct(best.alias("k"), "crop_uri"))).alias("best"),
+        F.max(F.when(has_crop & usable, F.struct(best.alias("k"), "crop_uri"))).alias("best"),
+        F.min(F.when(has_crop & F.col("quality").isNull(), F.struct(at.alias("at"), "crop_uri"))).alias("unscored"),
     )
     if max_crops > 0:
         part = part.join(_first_boxes(rows, max_crops), [*KEYS, "bucket"])
@@ -87,8 +92,10 @@ def build(
             F.max("last")["zone_id"].alias("end_zone_id"),
             F.sum("n").alias("frame_count"),
             F.sum("crops").alias("crop_count"),
+            F.sum("embeddings").alias("n_embeddings"),
             F.least(F.sum("embeddings"), F.lit(max_embeddings)).alias("embedding_count"),
             F.max("best").alias("best"),
+            F.min("unscored").alias("unscored"),
             *aggs,
         )
         .where(
@@ -104,10 +111,11 @@ def build(
         "end_ms",
         "start_zone_id",
         "end_zone_id",
-        F.col("best.crop_uri").alias("best_crop_uri"),
+        F.coalesce("best.crop_uri", "unscored.crop_uri").alias("best_crop_uri"),
         F.coalesce(F.col("best.k.q"), F.when(F.col("crop_count") > 0, F.lit(0.0))).alias("quality_score"),
         "frame_count",
         "embedding_count",
+        "n_embeddings",
         F.lit("pphuman").alias("source"),
         F.lit(False).alias("provisional"),
         *(["frame_bboxes"] if max_crops > 0 else []),

@@ -215,3 +215,12 @@ def test_short_tracks_are_dropped(spark):
     assert tracklets.build(df, min_detections=6).count() == 0
     with_vector = df.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     assert tracklets.build(with_vector, min_detections=6).count() == 1
+
+
+def test_crops_without_scores(spark):
+    cols = "camera_id string, local_track_id bigint, det_id bigint, ts_ms bigint, zone_id string, x1 double, y1 double, x2 double, y2 double, crop_uri string, quality double"
+    rows = [("C", t, t * 100 + k, 1000 + k * 40_000 * (t == 3) + k, None, 1.0, 2.0, 3.0, 4.0, f"u{t}{k}", q(k)) for t, q in ((1, lambda k: None), (2, lambda k: [0.0, None, 0.4, 0.2, None, 0.4][k]), (4, lambda k: 0.0)) for k in range(6)]
+    built = tracklets.build(spark.createDataFrame(rows, cols), min_detections=99, min_crops=5)
+    got = {r.local_track_id: (r.best_crop_uri, r.quality_score, r.embedding_count, r.n_embeddings) for r in built.collect()}
+    # 4 has no crop that counts
+    assert got == {1: ("u10", 0.0, 0, 0), 2: ("u22", 0.4, 0, 0)}

@@ -283,8 +283,8 @@ VERDICTS = """
            JOIN (SELECT k, min(hit) AS best FROM pair JOIN (SELECT k AS pk FROM %s WHERE flag) ON pk = hit.k GROUP BY k) USING (k)
            WHERE hit.k <> best.k AND (hit.cam <> best.cam OR hit.neg = best.neg) GROUP BY k) USING (k))))"""
 
-#: Three digits, halves of the shown number up.
-HALF_UP = "round((%s)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE"
+#: Three digits of a number of six, halves up.
+HALF_UP = "round(round(%s, 6)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE"
 
 RESOLVE_SQL = f"""
     WITH RECURSIVE num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, tracklet_id) AS k FROM points),

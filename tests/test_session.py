@@ -2,6 +2,7 @@ import uuid
 
 import pytest
 
+import __spark_entry__ as entry
 from mcid import session
 
 
@@ -44,3 +45,17 @@ def test_a_folder_that_is_not_shared_stops_the_job(spark, tmp_path, monkeypatch)
 
 def test_other_file_systems_are_taken_as_named(spark):
     assert session.shared_dir(Cluster(spark, "hdfs://nn/shared")) == "hdfs://nn/shared"
+
+
+def test_exploded_rows_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    """A file of 4 MB that holds 3 million boxes after the explode."""
+    ids = spark.range(300_000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 1500 AS user_id", "'view' AS event_type", "rand(7) AS value", "'' AS props")
+    ids.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    other = spark.newSession()
+    other.conf.set(session.BROADCAST, "10MB")
+    other.conf.unset(session.MEASURED_BROADCAST)
+    plan = entry.queries()["bbox_iou"](other, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert other.conf.get(session.MEASURED_BROADCAST) == "10MB"  # what is small in truth still is
+    other.conf.set(session.BROADCAST, "-1")
+    assert session.configure(other).conf.get(session.BROADCAST) == "-1"

@@ -326,7 +326,7 @@ def embed_crops(v: Views) -> DataFrame:
 
     def model(rows):
         ways = np.array([[3, 4, 12], [1, 2, 2], [2, 3, 6], [1, 4, 8]], dtype=float)
-        return ways[rows["det_id"] % 4] * (rows["x1"].to_numpy() + 1.0)[:, None]
+        return ways[rows["det_id"].to_numpy() % 4] * (rows["x1"].to_numpy() + 1.0)[:, None]
 
     out = embedding.embed_crops(v.detections.select("det_id", "x1"), model, 3)
     rounded = [F.round(F.col("embedding")[i].cast("double"), 5).alias(f"e{i + 1}") for i in (0, 2)]

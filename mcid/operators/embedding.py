@@ -21,23 +21,23 @@ def embed_crops(
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made: list = []
-            for i in range(0, len(part), batch):
-                made.extend(fn(part.iloc[i : i + batch]))
-            out = []
-            for v in made:
-                v = None if v is None else np.asarray(v, dtype="float32")
-                if v is None or v.shape != (dim,):
-                    out.append(None)
-                    continue
-                n = float(np.linalg.norm(v))
-                out.append((v / n if n > 1e-12 else v).tolist())
+            made = [fn(part.iloc[i : i + batch]) for i in range(0, len(part), batch)]
+            if all(isinstance(m, np.ndarray) and m.ndim == 2 and m.shape[1] == dim and m.dtype != object for m in made):
+                out = list(_unit_rows(np.concatenate(made).astype("float32"))) if made else []
+            else:
+                out = [None if v is None else np.asarray(v, dtype="float32") for m in made for v in m]
+                out = [None if v is None or v.shape != (dim,) else _unit_rows(v[None])[0] for v in out]
             yield part.assign(**{column: out})
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{fields}, {column} array<float>")
 
 
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(n > 1e-12, m / np.maximum(n, np.float32(1e-12)), m)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=-1, keepdims=True)
     return np.where(n < 1e-12, m, m / np.maximum(n, 1e-12))

@@ -59,3 +59,44 @@ def test_exploded_rows_are_not_broadcast_by_the_size_of_their_file(spark, tmp_pa
     assert other.conf.get(session.MEASURED_BROADCAST) == "10MB"  # what is small in truth still is
     other.conf.set(session.BROADCAST, "-1")
     assert session.configure(other).conf.get(session.BROADCAST) == "-1"
+
+
+def test_tasks_get_no_more_events_with_more_input(spark, tmp_path, monkeypatch):
+    from mcid.fixtures import Views, spark_views
+
+    monkeypatch.setattr(spark_views, "TASK_ROWS", 100)
+    rows = spark.range(3000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' AS ts", "id % 9 AS user_id", "'view' AS event_type", "1D AS value", "'' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    other = spark.newSession()
+    views = Views(other, str(tmp_path))
+    assert views.events.rdd.getNumPartitions() == 30
+    assert other.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "30"
+    assert views.detections.count() == sum(5 + e % 20 for e in range(3000))
+
+
+def test_an_event_carries_one_vector_through_the_shuffles(spark):
+    """Vectors beyond the bound of a broadcast: two joins by event, not three."""
+    other = spark.newSession()
+    other.conf.set(session.BROADCAST, "-1")
+    plan = entry.queries()["mean_vector"](other, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
+
+
+def test_vectors_of_a_batch_are_scaled_together(spark):
+    import numpy as np
+
+    from mcid.operators import embedding
+
+    def ten_threes(part):
+        assert len(part) <= 4
+        return np.full((len(part), 3), 3.0)
+
+    def ragged(part):
+        return [None if i % 3 == 0 else np.ones(2 + i % 3) for i in part["id"]]
+
+    rows = spark.range(0, 10, 1, 1)
+    got = embedding.embed_crops(rows, ten_threes, 3, batch=4).collect()
+    assert [round(x, 6) for r in got for x in r.embedding] == [0.57735] * 30
+    got = embedding.embed_crops(rows, ragged, 3, batch=4).collect()
+    assert [r.id for r in got if r.embedding is not None] == [1, 4, 7]
+    assert embedding.embed_crops(rows.limit(0), ragged, 3).count() == 0

@@ -17,7 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles) stays: the one with the smallest id."""
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    SimHash and bands of min-hashes propose; 0.8 of their five-word shingles makes two texts near copies.
+    """
     return jaccard.keep_first(docs, least=(4, 5), n=5)
 
 

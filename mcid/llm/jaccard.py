@@ -1,10 +1,11 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
 Method: texts become sets of 64-bit shingle hashes; equal sets count once. Bands of min-hashes propose links.
+So does SimHash: the fingerprints of :mod:`simhash` that its covering masks find within ``RADIUS`` bits, without a miss.
 Connected proposals form tentative groups, so each set is sent to one place only, and there real set sizes decide:
 a link is kept if and only if the similarity reaches the threshold, compared in whole numbers. A pair at 0.8 shares
 no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 2 in a million; a more similar one with less. SimHash
-cannot do this: at 0.8 two fingerprints of 64 bits differ in about ten bits, beyond what covering masks can hold.
+alone cannot do this: at 0.8 two fingerprints of 64 bits differ in about ten bits, beyond what covering masks can hold.
 
 Hot groups: one with more than ``most`` shingles is cut into blocks, and each pair of blocks is compared in one
 task. A group gives a spanning forest of its links, never all its pairs.
@@ -27,9 +28,12 @@ from xxhash import xxh64_intdigest
 
 from ..session import cut_lineage
 from .common import bytes_batches, components, map_arrow, release, texts
+from . import simhash
 from .simhash import firsts
 
 BANDS, ROWS = 56, 7
+#: Bits in which fingerprints differ that SimHash proposes.
+RADIUS = 3
 #: Bits of the filter that keeps sets without a proposal from being sent.
 FILTER = 1 << 24
 
@@ -43,6 +47,17 @@ def shingles(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams)))
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """SimHash of a set: bits that are set in over half of its hashes."""
+    if not len(grams):
+        return 0
+    ones = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(grams), 1 << 15):
+        part = grams[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
+
+
 def set_id(grams: np.ndarray) -> int:
     return xxh64_intdigest(grams.tobytes(), 7)
 
@@ -79,18 +94,35 @@ def band_keys(sets: list[np.ndarray], step: int = 1 << 15) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, sid (names the set), size (of the set) and keys (packed)."""
+    """doc_id, sid (names the set), size (of the set), fp (its SimHash) and keys (packed)."""
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         sets = [shingles(t, n) for t in texts(batch, "text")]
         sid = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
-        arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array(band_keys(sets), pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "size", "keys"])
+        arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()),
+                  pa.array([simhash.signed(fingerprint(s)) for s in sets], pa.int64()), pa.array(band_keys(sets), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "size", "fp", "keys"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, sid long, size long, keys binary", 4 << 20)
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, sid long, size long, fp long, keys binary", 4 << 20)
 
 
 def proposals(by_set: DataFrame) -> DataFrame:
+    """Edges a, b that connect all sets which SimHash or a common band key brings together."""
+    return near_prints(by_set).unionByName(common_bands(by_set)).distinct()
+
+
+def near_prints(by_set: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges a, b that connect all sets whose fingerprints are within ``radius`` bits; an empty set needs none."""
+    full = by_set.where("size > 0").select("fp", "sid")
+    # a fingerprint is named by the smallest of its sets
+    name = cut_lineage(full.groupBy("fp").agg(F.min("sid").alias("a")))
+    equal = full.join(name, "fp").where("sid <> a").select("a", F.col("sid").alias("b"))
+    met = simhash.links(name.select("fp"), radius)
+    near = met.join(name.select(F.col("fp").alias("a"), F.col("a").alias("_a")), "a").join(name.select(F.col("fp").alias("b"), F.col("a").alias("_b")), "b")
+    return equal.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def common_bands(by_set: DataFrame) -> DataFrame:
     """Edges a, b that connect all sets with a common band key."""
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
@@ -101,7 +133,7 @@ def proposals(by_set: DataFrame) -> DataFrame:
 
     spread = map_arrow(by_set.select("sid", "keys"), run, "key long, sid long")
     shared = spread.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("key", "a")
-    return spread.join(shared, "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    return spread.join(shared, "key").where("sid <> a").select("a", F.col("sid").alias("b"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int = 5) -> DataFrame:
@@ -187,7 +219,7 @@ def near_copies(docs: DataFrame, least: tuple[int, int] = (4, 5), n: int = 5, mo
     """doc_id and component_id, the smallest doc_id reachable by links of similarity ``least`` (a fraction) or more."""
     spark = docs.sparkSession
     marked = cut_lineage(sketches(docs, n))
-    by_set = cut_lineage(marked.groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    by_set = cut_lineage(marked.groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     roots = components(links(docs, by_set, least, n, most))
     linked = cut_lineage(by_set.select("sid", "low").join(roots.withColumnRenamed("node", "sid"), "sid"))
     lows = linked.groupBy("root").agg(F.min("low").alias("best"))

@@ -83,3 +83,20 @@ def test_components_of_proposals_hold_no_limit():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in range(0, 400, 5)]
     found = jaccard.forest(list(range(80)), sets, (4, 5))
     assert len(found) == 79  # one chain, one tree
+
+
+def test_simhash_proposes_all_that_are_within_its_bits(spark):
+    """Without any band: the fingerprints of five-word sets, found by the covering masks."""
+    rows = edited()
+    sets = [jaccard.shingles(r[1].encode()) for r in rows]
+    prints = {jaccard.set_id(s): jaccard.fingerprint(s) for s in sets if len(s)}
+    assert all(p == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s)) for s, p in ((s, jaccard.fingerprint(s)) for s in sets[:20]))
+    by_set = jaccard.sketches(frame(spark, rows)).dropDuplicates(["sid"])
+    met = [(r.a % 2**64, r.b % 2**64) for r in jaccard.near_prints(by_set).collect()]
+    root = {s: s for s in prints}
+    for a, b in met:
+        old, new = root[a], root[b]
+        assert (prints[a] ^ prints[b]).bit_count() <= jaccard.RADIUS
+        root = {k: new if r == old else r for k, r in root.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= jaccard.RADIUS]
+    assert near and all(root[a] == root[b] for a, b in near)

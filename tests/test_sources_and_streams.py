@@ -158,3 +158,11 @@ def test_stays_over_several_batches(spark, tmp_path):
 def test_stream_resolve_covers_all(spark):
     out = entry.queries()["stream_resolve"](spark, SF)
     assert out.count() == 1000 and out.select("tracklet_id").distinct().count() == 1000
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["stream_dedup"](spark, str(tmp_path))
+    assert got.count() == events.count() > 0
+    assert entry.queries()["stream_lag"](spark, str(tmp_path)).agg(F.sum("input_rows")).first()[0] == events.count()

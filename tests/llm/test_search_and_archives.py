@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,28 @@ def test_pruning_loses_nothing():
         assert set(zip(*(x.tolist() for x in shard.search(asked, weight, 10)))) >= want
 
 
+def test_index_holds_numbers_for_words():
+    words = np.random.default_rng(5).integers(0, 3000, (2000, 400))
+    texts = [" ".join(f"someword{w}" for w in row) for row in words.tolist()]
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts)})
+    tracemalloc.start()
+    rows = list(search.segments(iter([batch]), 7))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * words.size, peak / words.size
+    assert sum(b.num_rows for b in rows) == 3001 and rows[-1].column("total").to_pylist() == [words.size]
+
+
+def test_weights_may_change_between_queries():
+    rows = [{"seg": 0, "term": t, "docs": np.array(d, "<i4").tobytes(), "tf": np.ones(len(d), "<i4").tobytes()} for t, d in (("a", [0, 1]), ("b", [1, 2]))]
+    rows.append({"seg": 0, "ids": np.arange(3).astype("<i8").tobytes(), "lens": np.array([1, 2, 1], "<i4").tobytes()})
+    shapes = {"seg": pa.int64(), "term": pa.string()} | dict.fromkeys(["docs", "tf", "ids", "lens"], pa.binary())
+    shard = search.Shard(pa.Table.from_pylist(rows, pa.schema(list(shapes.items()))).to_batches(), 4 / 3)
+    one, two, again = (shard.search(np.array([0]), np.array([w]), 3)[1] for w in (1e6, 2e6, 1e6))
+    assert one.tolist() == again.tolist() and one.tolist() == np.rint(1e6 * shard.part[:2]).tolist()
+    assert two.tolist() == np.rint(2e6 * shard.part[:2]).tolist()
+
+
 PAGES = [
     (1, "http://b.example.com/x?q=1#f", "<p>one</p>"),
     (2, "https://a.example.com:8443/", "<p>two</p>"),

@@ -59,7 +59,8 @@ class InOrder(StatefulProcessor):
                 low = min(values[0])
                 first = low if first is None else min(first, low)
         self._wake(first)
-        yield pd.DataFrame([], columns=self.columns)
+        # nothing, not an empty frame: each frame travels as a batch of its own
+        return iter(())
 
     def _wake(self, at: int | None) -> None:
         held = self.timer.get()[0] if self.timer.exists() else None
@@ -83,7 +84,8 @@ class InOrder(StatefulProcessor):
         self.timer.clear()
         times = [r[0] for r in rest] + [t for t in (self.limit(),) if t is not None]
         self._wake(min(times, default=None))
-        yield pd.DataFrame(out, columns=self.columns)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
 
 def _ordered(df: DataFrame, keys: list[str], processor: InOrder, output: str, delay: str, at: Column) -> DataFrame:

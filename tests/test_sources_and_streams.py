@@ -166,3 +166,20 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
     got = entry.queries()["stream_dedup"](spark, str(tmp_path))
     assert got.count() == events.count() > 0
     assert entry.queries()["stream_lag"](spark, str(tmp_path)).agg(F.sum("input_rows")).first()[0] == events.count()
+
+
+def test_waiting_rows_send_no_frames():
+    """Each frame travels as a batch, so a key with nothing to say sends none."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from mcid.streaming.processors import Stays
+
+    stays = Stays(1000)
+    stays.init(MagicMock())
+    stays.timer.exists.return_value = False
+    rows = pd.DataFrame({"at_ms": [5], "event_id": [1], "camera_id": ["CAM_01"], "event_type": ["enter"]})
+    assert list(stays.handleInputRows(("G1", "Z1"), iter([rows]), None)) == []
+    stays.waiting.appendList.assert_called_once_with([(5, 1, "CAM_01", "enter")])
+    stays.handle.registerTimer.assert_called_once_with(5)

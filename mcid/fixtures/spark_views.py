@@ -37,7 +37,8 @@ class Views:
         still small here, before the steps that multiply them. Later shuffles get as many parts, which
         Spark joins to larger ones where they are small."""
         if df.isStreaming:
-            return df
+            # rows of a batch are not counted before it runs; a large file still goes to all cores
+            return df.repartition(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), key)
         parts = max(self.spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
         expect_parts(self.spark, parts)
         return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, key)

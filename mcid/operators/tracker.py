@@ -62,3 +62,67 @@ class Tracker:
         self.live = np.concatenate([self.live[frame_no - self.live["seen"] <= self.forget_after], opened[claim < 0]])
         out = current[answered]
         return list(zip(det[answered].tolist(), out["track"].tolist(), out["age"].tolist(), (out["age"] >= self.confirm_at).tolist()))
+
+    def follow(self, frame_no: np.ndarray, det: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, n: int) -> tuple[list, list, list, list]:
+        """(frame, det, track, age) for boxes in order of frame and detection, ``n`` of which were seen before; the rule of :meth:`frame`.
+
+        Frames mostly hold a box or two and few tracks are live, for which plain numbers are faster than arrays.
+        """
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        ends = np.append(np.flatnonzero(frame_no[1:] != frame_no[:-1]) + 1, len(frame_no)).tolist()
+        box = np.stack([x1, y1, x2, y2], axis=1)
+        rows, frames, dets = box.tolist(), frame_no.tolist(), det.tolist()
+        if np.isnan(box).any() or np.isnan(self.live["box"]).any():
+            start = 0
+            for end in ends:
+                found = self.frame(frames[start], [(dets[i], n + i + 1, rows[i]) for i in range(start, end)])
+                for one, values in zip(out, zip(*((frames[start], *f[:3]) for f in found))):
+                    one.extend(values)
+                start = end
+            return out
+        above, forget = self.iou_above, self.forget_after
+
+        def area(b: list[float]) -> float:
+            return max(b[2] - b[0], 0.0) * max(b[3] - b[1], 0.0)
+
+        # place, its area, frame, age, number
+        live = [[b, area(b), seen, age, track] for track, b, seen, age in self.live.tolist() for b in [list(b)]]
+        start = 0
+        for end in ends:
+            now = frames[start]
+            live = [t for t in live if now - t[2] <= forget + 1]
+            taken: dict[int, int] = {}
+            claims = []
+            for i in range(start, end):
+                a1, b1, a2, b2 = rows[i]
+                own, best, claim = area(rows[i]), above, -1
+                for k, t in enumerate(live):
+                    c1, d1, c2, d2 = t[0]
+                    w = (a2 if a2 < c2 else c2) - (a1 if a1 > c1 else c1)
+                    if w <= 0:
+                        continue
+                    h = (b2 if b2 < d2 else d2) - (b1 if b1 > d1 else d1)
+                    if h <= 0:
+                        continue
+                    found = w * h / max(own + t[1] - w * h, 1e-6)
+                    if found > best:
+                        best, claim = found, k
+                claims.append((claim, own))
+                if claim >= 0:
+                    taken.setdefault(claim, i)
+            opened = []
+            for i, (claim, own) in zip(range(start, end), claims):
+                if claim < 0:
+                    t = [rows[i], own, now, 1, n + i + 1]
+                    opened.append(t)
+                elif taken[claim] == i:
+                    t = live[claim]
+                    t[0], t[1], t[2], t[3] = rows[i], own, now, t[3] + 1
+                else:
+                    continue
+                for one, value in zip(out, (now, dets[i], t[4], t[3])):
+                    one.append(value)
+            live = [t for t in live if now - t[2] <= forget] + opened
+            start = end
+        self.live = np.array([(t[4], t[0], t[2], t[3]) for t in live], STATE)
+        return out

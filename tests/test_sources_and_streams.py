@@ -183,3 +183,79 @@ def test_waiting_rows_send_no_frames():
     assert list(stays.handleInputRows(("G1", "Z1"), iter([rows]), None)) == []
     stays.waiting.appendList.assert_called_once_with([(5, 1, "CAM_01", "enter")])
     stays.handle.registerTimer.assert_called_once_with(5)
+
+
+class Cell:
+    """A keyed state in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.held, self.calls = {}, calls
+
+    def __getattr__(self, name):
+        known = {
+            "exists": lambda: None in self.held, "get": lambda: self.held[None], "update": lambda v: self.held.update({None: v}),
+            "keys": lambda: list(self.held), "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}),
+            "removeKey": lambda k: self.held.pop(k), "iterator": lambda: list(self.held.items()), "clear": self.held.clear,
+        }
+        self.calls.append(name)
+        return known[name]
+
+
+@pytest.mark.parametrize("kind", ["thin", "tracks", "bindings"])
+def test_rows_of_a_busy_key_wait_in_blocks(monkeypatch, kind):
+    """A few calls to the state, whatever the number of rows; spans of time are applied one by one."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    monkeypatch.setattr(processors, "BUCKET_MS", 60_000)
+    calls, n, applied = [], 6000, []
+    handle = MagicMock()
+    handle.getMapState.side_effect = handle.getValueState.side_effect = lambda *a: Cell(calls)
+    rnd = random.Random(kind)
+    at = [1000 + k * 50 + rnd.randrange(3000) for k in range(n)]
+    frames = pd.DataFrame({"at_ms": at, "det_id": range(n)})
+    if kind == "thin":
+        one, key = processors.Thin(500), ("A",)
+    elif kind == "tracks":
+        one, key = processors.Tracks({}), ("A",)
+        frames = frames.assign(frame_no=frames.at_ms // 200, x1=[rnd.randrange(60) * 1.0 for _ in at], y1=0.0).assign(at_ms=lambda f: f.frame_no * 200 + 199, x2=lambda f: f.x1 + 20, y2=9.0)
+    else:
+        one, key = processors.Bindings(10_000, 10**9), ("A", 0)
+        frames = frames.assign(kind=frames.det_id % 2, local_track_id=frames.det_id % 5, global_id=[f"G{k}" if k % 2 == 0 else None for k in range(n)])
+    one.init(handle)
+    inner = one.apply
+    one.apply = lambda key, rows, watermark: applied.append(rows.num_rows) or inner(key, rows, watermark)
+    for part in (frames[:4000], frames[4000:]):
+        list(one.handleInputRows(key, iter([part[:1000], part[1000:]]), None))
+    # twice, so that a state is kept between
+    got = []
+    for mark in (150_000, 10**9):
+        got += list(one.handleExpiredTimer(key, MagicMock(getCurrentWatermarkInMs=lambda mark=mark: mark), None))
+    got = pd.concat(got)
+    assert len(applied) > 5 and max(applied) < n / 3 and len(calls) < n / 10
+    if kind == "thin":
+        want, last = [], None
+        for t in sorted(at):
+            if last is None or t - last >= 500:
+                want.append(t)
+                last = t
+        assert got.ts_ms.tolist() == want
+    elif kind == "tracks":
+        from mcid.operators.tracker import Tracker
+
+        tracker, want, seen = Tracker(), [], 0
+        for frame, boxes in frames.sort_values(["frame_no", "det_id"]).groupby("frame_no"):
+            rows = [(r.det_id, seen + i + 1, (r.x1, r.y1, r.x2, r.y2)) for i, r in enumerate(boxes.itertuples())]
+            seen += len(rows)
+            want += [(frame, *r) for r in tracker.frame(frame, rows)]
+        assert list(got[["frame_no", "det_id", "track_id", "age", "confirmed"]].itertuples(index=False, name=None)) == want
+    else:
+        own, last, want = {}, None, []
+        for r in sorted(frames.itertuples(), key=lambda r: (r.at_ms, r.kind, r.global_id or "", r.local_track_id, r.det_id)):
+            if r.kind == 0:
+                own[r.local_track_id] = last = (r.global_id, r.at_ms)
+                continue
+            hit = next((h for h in (own.get(r.local_track_id), last) if h and r.at_ms - h[1] <= 10_000), (None,))
+            want.append((r.det_id, hit[0]))
+        assert list(got[["det_id", "global_id"]].itertuples(index=False, name=None)) == want

@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mcid import session
@@ -100,3 +101,24 @@ def test_vectors_of_a_batch_are_scaled_together(spark):
     got = embedding.embed_crops(rows, ragged, 3, batch=4).collect()
     assert [r.id for r in got if r.embedding is not None] == [1, 4, 7]
     assert embedding.embed_crops(rows.limit(0), ragged, 3).count() == 0
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    """Each step of a job that is cut into steps would keep its shuffle on disk until the driver's garbage is collected."""
+    import time
+
+    from mcid.session import configure, cut_lineage
+
+    configure(spark)
+
+    def files():
+        return {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = files()
+    kept = cut_lineage(spark.range(10_000).repartition(7).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 100
